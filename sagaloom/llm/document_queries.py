@@ -2,5 +2,16 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from sagaloom.llm.bpe import encode_corpus
+from sagaloom.sources.tables import table
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict = {"p8_ids": p8_ids}
 SQL: dict[str, str] = {}
