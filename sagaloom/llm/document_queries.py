@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sagaloom.llm.abuse import flag_documents, rates_by_source
 from sagaloom.llm.bpe import encode_corpus
 from sagaloom.sources.tables import table
 
@@ -13,5 +14,16 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict = {"p8_ids": p8_ids}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexually explicit sentence, by category."""
+    return flag_documents(table(spark, sf_dir, "documents")).select("doc_id", "category")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of such documents per source."""
+    docs = table(spark, sf_dir, "documents")
+    return rates_by_source(docs, flag_documents(docs))
+
+
+QUERIES: dict = {"p8_ids": p8_ids, "p10_found": p10_found, "p10_rates": p10_rates}
 SQL: dict[str, str] = {}
