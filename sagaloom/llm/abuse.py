@@ -16,7 +16,6 @@ without lexicon entries has no finding.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sagaloom.llm.bpe import IntMap
-from sagaloom.llm.lookalikes import FEW_LETTERS
+from sagaloom.llm.letters import letter_table
 
 CATEGORIES = ("abuse", "hate", "sexual")
 
@@ -58,19 +57,7 @@ _WILD = 1
 @lru_cache(1)
 def _fold() -> np.ndarray:
     """The folded letter of each code point, 0 for what is dropped."""
-    out = np.zeros(0x110000, np.uint32)
-    out[0x3400:0x4DC0] = np.arange(0x3400, 0x4DC0)
-    out[0x4E00:0xA000] = np.arange(0x4E00, 0xA000)
-    out[0xAC00:0xD7A4] = np.arange(0xAC00, 0xD7A4)
-    out[0x20000:0x30000] = np.arange(0x20000, 0x30000)
-    for c in [*range(0x20, 0x3400), *range(0xA000, 0xABC0), *range(0xF900, 0xFB00), *range(0xFF00, 0xFFF0)]:
-        x = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", chr(c)).lower())
-        x = x[:1]
-        x = FEW_LETTERS.get(x, x)
-        out[c] = ord(x) if x and unicodedata.category(x)[0] == "L" else 0
-    for a, b in SIGNS.items():
-        out[ord(a)] = ord(b) if b else 0
-    return out
+    return letter_table(SIGNS)
 
 
 def folded(text: str) -> list[int]:

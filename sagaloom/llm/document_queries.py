@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sagaloom.llm.abuse import flag_documents, rates_by_source
 from sagaloom.llm.bpe import encode_corpus
+from sagaloom.llm.leakage import find_leaks
 from sagaloom.sources.tables import table
 
 
@@ -14,6 +15,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry a passage of an evaluation item, with the item."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with an abusive, hateful or sexually explicit sentence, by category."""
     return flag_documents(table(spark, sf_dir, "documents")).select("doc_id", "category")
@@ -25,5 +31,5 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates_by_source(docs, flag_documents(docs))
 
 
-QUERIES: dict = {"p8_ids": p8_ids, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES: dict = {"p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_rates": p10_rates}
 SQL: dict[str, str] = {}
