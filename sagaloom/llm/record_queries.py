@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagaloom.llm.components import connected_components, star_edges
+from sagaloom.llm.names import link_names
 from sagaloom.llm.survivors import STAND_INS, surviving_records
 from sagaloom.sources.tables import table
 
@@ -35,6 +36,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(kind.alias("kind"), F.shiftright("node", 1).alias("record_key"), F.shiftright("label", 1).alias("group_key"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed names with the role id they mean."""
+    roles = table(spark, sf_dir, "unified_roles").select("id", "book_id", F.concat(F.array("canonical_name"), F.coalesce("all_names", F.array().cast("array<string>"))).alias("names"))
+    named = roles.select("id", "book_id", F.explode(F.array_distinct("names")).alias("name")).where("name is not null")
+    found = table(spark, sf_dir, "chunk_extractions").select("book_id", F.explode("entities.name").alias("name")).where("name is not null")
+    typed = found.unionByName(named.where("id is null").select("book_id", "name"))
+    return link_names(named.where("id is not null").select("book_id", "name", F.col("id").alias("role_id")), typed)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record whose value survives, per role id and field."""
     return surviving_records(table(spark, sf_dir, "unified_roles"), table(spark, sf_dir, "source_trust"))
@@ -81,5 +91,5 @@ SELECT id, field_name, record_id FROM scored
 QUALIFY row_number() OVER (PARTITION BY id, field_name ORDER BY m DESC, updated_at DESC NULLS LAST, record_id) = 1
 """
 
-QUERIES = {"p5_found": p5_found, "p7_found": p7_found}
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
 SQL = {"p5_found": _P5, "p7_found": _P7}
