@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sagaloom.operators.skew import salted_lookup
+
 
 def ranked(df: DataFrame, group: list[str], order: list[Column | str], name: str = "rank_no") -> DataFrame:
     """df with the place of each row in its group; the order must be total."""
@@ -21,8 +23,25 @@ def best_per(df: DataFrame, group: list[str], order: list[Column | str]) -> Data
     return top_n(df, group, order, 1, "_place").drop("_place")
 
 
-def index_quantile(df: DataFrame, group: list[str], value: str, share: float) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], lead: Column, rest: list[Column | str], name: str = "rank_no") -> DataFrame:
+    """Place of each row in its group by (lead ascending with nulls last, rest), without sorting a whole group in one task.
+
+    Rows are ranked only among those of equal lead (a coarse whole number); how many come before is a running sum over the
+    counts per lead, one small row each. A group of any size is spread over as many tasks as it has leads.
+    """
+    d = df.withColumn("_lead", F.coalesce(lead.cast("long"), F.lit(1 << 60)))
+    w = Window.partitionBy(*group).orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)
+    before = d.groupBy(*group, "_lead").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    inner = ranked(d, [*group, "_lead"], rest, "_in")
+    return inner.join(before, [*group, "_lead"]).withColumn(name, (F.col("_before") + F.col("_in")).cast("int")).drop("_lead", "_before", "_in")
+
+
+def with_stats(df: DataFrame, keys: list[str], stats: list[Column], spread: str) -> DataFrame:
+    """df with aggregates of each row's group: aggregated with a map-side step, brought back by a salted join, so a hot group is no single task."""
+    return salted_lookup(df, df.groupBy(*keys).agg(*stats), keys, spread)
+
+
+def index_quantile(df: DataFrame, group: list[str], value: str, share: float, spread: str) -> DataFrame:
     """group, threshold: the value at index floor((n - 1) * share) of the ascending values of each group (no interpolation)."""
-    w = Window.partitionBy(*group)
-    placed = ranked(df, group, [F.col(value)], "_at").withColumn("_n", F.count(F.lit(1)).over(w))
+    placed = with_stats(numbered(df, group, F.floor(value), [F.col(value), F.col(spread)], "_at"), group, [F.count(F.lit(1)).alias("_n")], spread)
     return placed.where(F.col("_at") - 1 == F.floor((F.col("_n") - 1) * share)).select(*group, F.col(value).alias("threshold"))

@@ -72,7 +72,7 @@ def graph_node_importance(spark: SparkSession, d: str) -> DataFrame:
 def graph_percentile_cut(spark: SparkSession, d: str) -> DataFrame:
     """Edges at or above the score at three quarters of their book's ascending scores, by index."""
     e = edges(spark, d)
-    return e.join(index_quantile(e, ["book_id"], "edge_score", 0.75), "book_id").where("edge_score >= threshold").select("book_id", "a", "b", "edge_score", "threshold")
+    return e.join(index_quantile(e.withColumn("_pair", F.concat_ws("|", "a", "b")), ["book_id"], "edge_score", 0.75, "_pair"), "book_id").where("edge_score >= threshold").select("book_id", "a", "b", "edge_score", "threshold")
 
 
 def graph_mainline(spark: SparkSession, d: str) -> DataFrame:
