@@ -32,13 +32,17 @@ def numbered(df: DataFrame, group: list[str], lead: Column, rest: list[Column |
     d = df.withColumn("_lead", F.coalesce(lead.cast("long"), F.lit(1 << 60)))
     w = Window.partitionBy(*group).orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)
     before = d.groupBy(*group, "_lead").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    inner = ranked(d, [*group, "_lead"], rest, "_in")
-    return inner.join(before, [*group, "_lead"]).withColumn(name, (F.col("_before") + F.col("_in")).cast("int")).drop("_lead", "_before", "_in")
+    key = F.struct(*group, "_lead")  # structs with null fields are equal, so rows of null groups stay
+    inner = ranked(d, [*group, "_lead"], rest, "_in").withColumn("_k", key)
+    joined = inner.join(before.select(key.alias("_k"), "_before"), "_k")
+    return joined.withColumn(name, (F.col("_before") + F.col("_in")).cast("int")).drop("_k", "_lead", "_before", "_in")
 
 
 def with_stats(df: DataFrame, keys: list[str], stats: list[Column], spread: str) -> DataFrame:
     """df with aggregates of each row's group: aggregated with a map-side step, brought back by a salted join, so a hot group is no single task."""
-    return salted_lookup(df, df.groupBy(*keys).agg(*stats), keys, spread)
+    key = F.struct(*keys)  # structs with null fields are equal, so rows of null groups stay
+    found = df.groupBy(key.alias("_k")).agg(*stats)
+    return salted_lookup(df.withColumn("_k", key), found, ["_k"], spread).drop("_k")
 
 
 def index_quantile(df: DataFrame, group: list[str], value: str, share: float, spread: str) -> DataFrame:
