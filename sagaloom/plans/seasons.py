@@ -202,7 +202,8 @@ def jaccard_adjacent_units(spark: SparkSession, d: str) -> DataFrame:
     """Likeness of each unit's roles and places to those of the next; two empty sets are alike."""
     s = scored(spark, d).where("unit is not null")
     none = F.array().cast("array<string>")
-    u = s.groupBy("book_id", "unit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("people")))).alias("who"), F.array_sort(F.collect_set("location")).alias("where_"))
+    u = s.groupBy("book_id", "unit").agg(F.array_sort(F.collect_set("location")).alias("where_"))
+    u = u.join(in_people(s).groupBy("book_id", "unit").agg(F.array_sort(F.collect_set("role")).alias("who")), ["book_id", "unit"], "left").withColumn("who", F.coalesce("who", none))
     w = Window.partitionBy("book_id").orderBy("unit")
     u = u.withColumn("next_unit", F.lead("unit").over(w)).withColumn("next_who", F.coalesce(F.lead("who").over(w), none)).withColumn("next_where", F.coalesce(F.lead("where_").over(w), none))
 
@@ -220,9 +221,11 @@ def boundary_units(spark: SparkSession, d: str) -> DataFrame:
     """
     s = scored(spark, d).where("unit is not null")
     u = s.groupBy("book_id", "season", "unit").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("people")))).alias("who"), F.array_sort(F.collect_set("location")).alias("places"),
+        F.array_sort(F.collect_set("location")).alias("places"),
         F.array_sort(F.collect_set("name")).alias("names"), F.min("p0").alias("p0"), F.max("p1").alias("p1"),
     )
+    who = in_people(s).groupBy("book_id", "season", "unit").agg(F.array_sort(F.collect_set("role")).alias("who"))
+    u = u.join(who, ["book_id", "season", "unit"], "left").withColumn("who", F.coalesce("who", F.array().cast("array<string>")))
 
     def like(a: set, b: set) -> float:
         return len(a & b) / len(a | b) if a | b else 1.0

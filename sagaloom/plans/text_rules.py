@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sagaloom.functions.rules import first_best, hits, sql_first_best, sql_hits
-from sagaloom.functions.text import BLANK, all_cjk, best_description, chinese_number, low_signal, ordered_names, pack_sentences, parse_year, plain_sentences, summary, trim_candidate
+from sagaloom.functions.text import BLANK, all_cjk, chinese_number, low_signal, ordered_names, pack_sentences, parse_year, plain_sentences, strip, summary, trim_candidate
 from sagaloom.operators.dictionary import match_names
 from sagaloom.operators.ranking import best_per
 from sagaloom.sources.model import SQL_EVENTS, SQL_LOCATIONS, events, locations, roles
@@ -81,12 +83,19 @@ def role_summaries(spark: SparkSession, d: str) -> DataFrame:
 def role_descriptions(spark: SparkSession, d: str) -> DataFrame:
     """The description chosen from all records' texts of each role."""
     t = table(spark, d, "unified_roles").where("id is not null").dropDuplicates(["record_id"])
+    text, order = strip(F.col("description")), (-F.col("record_id")).alias("o")
+    plain = reduce(lambda a, b: a & b, [~text.contains(e) for e in EDITORIAL])
+    notes = F.filter(F.transform("original_descriptions", strip), lambda x: x.isNotNull() & (x != ""))
+    longest = F.array_max(F.transform(notes, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("t"))))
+    pick = lambda ok: F.max(F.when(ok, F.struct(F.length(text).alias("n"), order, text.alias("t"))))["t"]
     g = t.groupBy("id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("record_id", "description"))), lambda x: x["description"]).alias("texts"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("record_id", "original_descriptions"))), lambda x: F.coalesce(x["original_descriptions"], F.array().cast("array<string>")))).alias("originals"),
+        pick((text != "") & plain & (F.length(text) <= 40)).alias("short"), pick((text != "") & plain).alias("plain"), pick(text != "").alias("any"),
+        F.min(F.when(F.size(notes) > 0, F.struct("record_id", notes[0].alias("t"))))["t"].alias("first"),
+        F.max(F.when(F.size(notes) > 0, F.struct(longest["n"].alias("n"), order, longest["t"].alias("t"))))["t"].alias("longest"),
         F.min(F.struct("record_id", "canonical_name"))["canonical_name"].alias("name"),
-    )
-    return g.select("id", best_description(F.col("texts"), F.col("originals"), F.col("name"), 40, EDITORIAL).alias("chosen"))
+    )
+    made = lambda c: F.nullif(summary(F.coalesce(c, F.lit("")), F.col("name"), 40), F.lit(""))
+    return g.select("id", F.coalesce("short", *(made(F.col(c)) for c in ("first", "longest", "plain", "any")), F.lit("")).alias("chosen"))
 
 
 def event_display_name(spark: SparkSession, d: str) -> DataFrame:
