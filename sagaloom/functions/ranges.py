@@ -24,7 +24,7 @@ def overlaps(lo: Column, hi: Column, want: tuple[int, int] | None) -> Column:
 def overlap_size(lo: Column, hi: Column, want: tuple[int, int]) -> Column:
     """How many whole steps a span and the wanted range share."""
     a, b = ends(lo, hi)
-    return F.coalesce(F.greatest(F.lit(0), F.least(b, F.lit(max(want))) - F.greatest(a, F.lit(min(want))) + 1), F.lit(0))
+    return F.when(a.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(b, F.lit(max(want))) - F.greatest(a, F.lit(min(want))) + 1))
 
 
 def sql_overlaps(lo: str, hi: str, want: tuple[int, int]) -> str:
