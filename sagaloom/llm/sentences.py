@@ -217,10 +217,11 @@ class Tagger:
                 ends.add(at - (len(e) - len(e.rstrip())))
             found = [(p, d, int(bool({p, len(text[:p].rstrip())} & ends))) for p, sure, d in places(text) if not sure and d and p < len(text.rstrip())]
             scores = [sum(PRIOR.get(x, 0.0) for x in d) for _, d, _ in found]
-            sure = [y for (_, _, y), v in zip(found, scores) if v >= 2.5]
+            sure = [y for (_, d, y), v in zip(found, scores) if v >= 2.5 and "dot" not in d]
+            dots = [y for (_, d, y), v in zip(found, scores) if v >= 2.0 and "dot" in d]  # some may be unknown abbreviations
             never = sum(y for (_, _, y), v in zip(found, scores) if v <= -1.0)
             strange = len(ends - {len(text.rstrip())}) - sum(y for *_, y in found)
-            if len(found) < 2 or never or strange > 0.1 * len(ends) or not sure or np.mean(sure) < 0.9:
+            if len(found) < 2 or never or strange > 0.1 * len(ends) or not sure + dots or sure and np.mean(sure) < 0.9 or dots and np.mean(dots) < 0.4:
                 continue
             last = 1
             for _, d, y in found:
