@@ -1,8 +1,10 @@
-"""Orphan references: signed reference and existence counts per key, kept from change deltas.
+"""Orphan references: signed reference and existence counts per key, summed from change deltas.
 
-Every table that refers to keys gives +1 per distinct (record, reference). The referred table gives existence deltas: a
-version of a key changes the key's existence by (live now) - (live before), versions in the order of their update; the sum of
-a key's deltas is 1 or 0 at any time. Keys with references and no existence are the orphans.
+Every table that refers to keys gives +1 per distinct (record, reference), or -1 for one taken back. The referred table gives
+existence deltas: the state of a key is that of its latest version, and a batch of versions changes the key's existence by
+(live after) - (live before). Both sorts of deltas are rows of one form, summed per key in one aggregation with a map-side
+step, so a key that holds a third of all references or versions is never one task. Keys with references and no existence are
+the orphans.
 
 Defined cases: null and blank references are none; a reference is trimmed and lower-cased; rows delivered twice count once;
 a null `updated_at` is older than any other, ties fall to the greater version key; a null `created_at` of a record gives a
@@ -11,7 +13,7 @@ null period and is never late.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sagaloom.operators.skew import salted_lookup
@@ -28,47 +30,58 @@ def reference_rows(df: DataFrame, table: str, key: str, refs: str, created: str
     )
 
 
-def existence_deltas(versions: DataFrame, key: str, version: str, updated: str, created: str, deleted: str) -> DataFrame:
-    """ref_id, at, delta, created_at, version: the change of existence that each distinct version of a key makes."""
-    v = (
-        versions.where(F.col(key).isNotNull())
-        .select(
-            F.lower(F.trim(F.col(key))).alias("ref_id"),
-            F.col(version).alias("version"),
-            F.col(updated).alias("at"),
-            F.col(created).alias("created_at"),
-            F.col(deleted).isNull().cast("int").alias("live"),
-        )
-        .dropDuplicates(["ref_id", "version", "at"])
+def key_versions(versions: DataFrame, key: str, version: str, updated: str, created: str, deleted: str) -> DataFrame:
+    """ref_id, latest (at, version, live), first_created: the state of each key after the given versions."""
+    v = versions.where(F.col(key).isNotNull()).select(
+        F.lower(F.trim(F.col(key))).alias("ref_id"),
+        F.struct(F.col(updated).alias("at"), F.col(version).alias("version"), F.col(deleted).isNull().cast("int").alias("live")).alias("latest"),
+        F.col(created).alias("first_created"),
     )
-    w = Window.partitionBy("ref_id").orderBy(F.col("at").asc_nulls_first(), "version")
-    return v.withColumn("delta", F.col("live") - F.coalesce(F.lag("live").over(w), F.lit(0)))
+    return merge_versions(v)
 
 
-def key_state(deltas: DataFrame) -> DataFrame:
-    """ref_id, existence (signed sum), versions, first_created: one row per key that ever existed."""
+def merge_versions(states: DataFrame) -> DataFrame:
+    """States of one key merged; merging is associative, so old state and new batches may be merged in any grouping."""
+    return states.groupBy("ref_id").agg(F.max("latest").alias("latest"), F.min("first_created").alias("first_created"))
+
+
+def existence_deltas(after: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """ref_id, refs, existence, known, oldest, first_created: the change of each key's existence from one state to a later one."""
+    nothing = F.lit(None).cast("timestamp").alias("oldest")
+    if before is None:
+        return after.select("ref_id", F.lit(0).alias("refs"), F.col("latest.live").alias("existence"), F.lit(1).alias("known"), nothing, "first_created")
+    j = after.join(before.select("ref_id", F.col("latest.live").alias("_was")), "ref_id", "left")
+    return j.select(
+        "ref_id", F.lit(0).alias("refs"), (F.col("latest.live") - F.coalesce("_was", F.lit(0))).alias("existence"), F.when(F.col("_was").isNull(), 1).otherwise(0).alias("known"), nothing, "first_created"
+    )
+
+
+def reference_deltas(refs: DataFrame, sign: int = 1) -> DataFrame:
+    """The same form for references that came (+1) or were taken back (-1)."""
+    never = F.lit(None).cast("timestamp").alias("first_created")
+    return refs.select("ref_id", F.lit(sign).alias("refs"), F.lit(0).alias("existence"), F.lit(0).alias("known"), F.col("created_at").alias("oldest"), never)
+
+
+def key_counts(deltas: DataFrame) -> DataFrame:
+    """Signed counts per key: references, existence, whether it was ever known, oldest reference, first creation."""
     return deltas.groupBy("ref_id").agg(
-        F.sum("delta").alias("existence"), F.count(F.lit(1)).alias("versions"), F.min("created_at").alias("first_created")
+        F.sum("refs").alias("refs"), F.sum("existence").alias("existence"), F.sum("known").alias("known"), F.min("oldest").alias("oldest"), F.min("first_created").alias("first_created")
     )
 
 
+def orphan_keys(counts: DataFrame) -> DataFrame:
+    """ref_id, kind, first_created of referenced keys that are missing, deleted, or in part referred to too early."""
+    kind = F.when(F.col("known") == 0, "missing").when(F.col("existence") <= 0, "deleted").when(F.col("first_created") > F.col("oldest"), "late")
+    return counts.where("refs > 0").select("ref_id", kind.alias("kind"), "first_created").where("kind is not null")
+
+
 def orphan_references(refs: DataFrame, state: DataFrame) -> DataFrame:
     """src_table, src_key, ref_id, kind, period of every reference without a usable key.
 
-    References are summed to one row per key before they meet the key's state; only the keys that give cases go back to the
-    reference rows, spread by salt, so neither a hot key nor the mass of good references is shuffled as rows.
+    Only the keys that give cases go back to the reference rows, spread by salt, so neither a hot key nor the mass of good
+    references is shuffled as rows.
     """
-    counted = refs.groupBy("ref_id").agg(F.count(F.lit(1)).alias("n_refs"), F.min("created_at").alias("oldest"))
-    judged = (
-        counted.join(state, "ref_id", "left")
-        .where(F.col("n_refs") > 0)
-        .select(
-            "ref_id",
-            F.when(F.col("versions").isNull(), "missing").when(F.col("existence") <= 0, "deleted").when(F.col("first_created") > F.col("oldest"), "late").alias("kind"),
-            "first_created",
-        )
-        .where("kind is not null")
-    )
+    judged = orphan_keys(key_counts(reference_deltas(refs).unionByName(existence_deltas(state))))
     hit = salted_lookup(refs, judged, ["ref_id"], "src_key")
     return (
         hit.where((F.col("kind") != "late") | (F.col("first_created") > F.col("created_at")))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagaloom.operators.references import existence_deltas, key_state, orphan_references, orphan_report, reference_rows
+from sagaloom.operators.references import key_versions, orphan_references, orphan_report, reference_rows
 from sagaloom.sources.tables import table
 
 
@@ -21,7 +21,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
             reference_rows(table(spark, sf_dir, "unified_locations"), "unified_locations", "id", "associated_entities"),
         ],
     )
-    return orphan_references(refs, key_state(existence_deltas(roles, "id", "record_id", "updated_at", "created_at", "deleted_at")))
+    return orphan_references(refs, key_versions(roles, "id", "record_id", "updated_at", "created_at", "deleted_at"))
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:

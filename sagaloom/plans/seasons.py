@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sagaloom.functions.rules import FUNCTION_WORDS, PHASE_RULES, SQL_TEXT, SQL_TYPED, TYPE_WEIGHTS, event_text, event_type, first_best, hits, light_score, lookup, sql_first_best, sql_hits, sql_lookup
-from sagaloom.operators.ranking import best_per, numbered, ranked, top_n, with_stats
+from sagaloom.operators.ranking import best_per, numbered, ranked, top_n, with_previous, with_stats
 from sagaloom.sources.model import SEASON_UNITS, SQL_EVENTS, SQL_PAIRS, SQL_PEOPLE, SQL_ROLES, SQL_SEASON, events, in_people, pairs_of, roles, season_of
 
 
@@ -134,8 +134,7 @@ def phases(spark: SparkSession, d: str) -> DataFrame:
 
 def phase_cap4(spark: SparkSession, d: str) -> DataFrame:
     """Phases of each pair without repeats in a row, the first four."""
-    w = Window.partitionBy("book_id", "a", "b").orderBy("pos")
-    p = phases(spark, d).withColumn("_last", F.lag("label").over(w)).where("_last is null or _last <> label")
+    p = with_previous(phases(spark, d), ["book_id", "a", "b"], "pos", "label").where("_last is null or _last <> label")
     return top_n(p, ["book_id", "a", "b"], ["pos"], 4).select("book_id", "a", "b", "pos", "label", "rank_no")
 
 

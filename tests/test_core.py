@@ -13,7 +13,7 @@ from sagaloom.functions.text import chinese_number, low_signal, pack_sentences,
 from sagaloom.operators.dictionary import greedy, match_names
 from sagaloom.operators.merging import best_of, freshness, missing_keys, upsert
 from sagaloom.operators.ranking import numbered, with_stats
-from sagaloom.operators.references import existence_deltas, key_state, orphan_references, reference_rows
+from sagaloom.operators.references import existence_deltas, key_counts, key_versions, merge_versions, orphan_keys, orphan_references, reference_deltas, reference_rows
 from sagaloom.operators.unions import capped_unions, name_components
 from sagaloom.sources.books import build_book, read_paragraphs
 from sagaloom.sources.stores import json_in_text, markdown_chapters, read_json, read_units, write_json, write_store
@@ -28,11 +28,19 @@ def test_references(spark):
         "record_id long, id string, created_at timestamp, updated_at timestamp, deleted_at timestamp",
     )
     ev = spark.createDataFrame([("e1", [" R1", "r2", "r9", None, "", " "], T(5, 1), "x"), ("e1", [" R1", "r2", "r9", None, "", " "], T(5, 1), "x"), ("e2", ["r3", "r3"], T(5, 1), "x"), ("e3", ["r3"], T(7, 1), "x"), ("e4", None, T(7, 1), "x"), ("e5", ["r9"], None, "x")], "id string, participants array<string>, created_at timestamp, ref_id string")
-    state = key_state(existence_deltas(roles, "id", "record_id", "updated_at", "created_at", "deleted_at"))
+    state = key_versions(roles, "id", "record_id", "updated_at", "created_at", "deleted_at")
     got = {tuple(r) for r in orphan_references(reference_rows(ev, "unified_events", "id", "participants"), state).collect()}
     assert got == {("unified_events", "e1", "r2", "deleted", "2025-05"), ("unified_events", "e1", "r9", "missing", "2025-05"), ("unified_events", "e2", "r3", "late", "2025-05"), ("unified_events", "e5", "r9", "missing", None)}
     none = orphan_references(reference_rows(ev.limit(0), "t", "id", "participants"), state)
     assert none.count() == 0
+    # the same keys from deltas in two batches: a reference is taken back, a key comes back to life
+    one = key_versions(roles.where("record_id <> 4"), "id", "record_id", "updated_at", "created_at", "deleted_at")
+    two = merge_versions(one.unionByName(key_versions(roles.where("record_id = 4"), "id", "record_id", "updated_at", "created_at", "deleted_at")))
+    refs = reference_rows(ev, "t", "id", "participants").distinct()
+    first = reference_deltas(refs).unionByName(existence_deltas(one))
+    assert {(r.ref_id, r.kind) for r in orphan_keys(key_counts(first)).collect()} == {("r9", "missing"), ("r3", "late")}
+    second = first.unionByName(existence_deltas(two, one)).unionByName(reference_deltas(refs.where("ref_id = 'r9'"), -1))
+    assert {(r.ref_id, r.kind) for r in orphan_keys(key_counts(second)).collect()} == {("r2", "deleted"), ("r3", "late")}
 
 
 def test_text_functions(spark):
