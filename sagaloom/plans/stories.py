@@ -12,7 +12,7 @@ from sagaloom.functions.text import prose_sentences
 from sagaloom.operators.merging import content_hash
 from sagaloom.operators.ranking import best_per, numbered, ranked, top_n, with_previous
 from sagaloom.plans.graph import edges
-from sagaloom.plans.seasons import _KEY, _S, _SP, _SX, arc_top8, key_scored, phase_cap4, roster_top24, scored, tension_score
+from sagaloom.plans.seasons import _KEY, _S, _SP, _SX, arc_top8, boundary_units, key_events_per_unit, key_scored, phase_cap4, roster_top24, scored, tension_score, unit_synopsis
 from sagaloom.plans.text_rules import ACTION_RULES, dictionary_mentions
 from sagaloom.plans.timeline import PROGRESS, UNITS
 from sagaloom.sources.model import SQL_EVENTS, SQL_ROLES, events, in_people, pairs_of, roles, season_of
@@ -230,11 +230,47 @@ def season_rollup(spark: SparkSession, d: str) -> DataFrame:
     return s.rollup("book_id", "season", "unit").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
 
 
+def curated_relationships(spark: SparkSession, d: str) -> DataFrame:
+    """Beats of configured relationships (here each book's three heaviest pairs): per season the shared event that fits best,
+    two for a place, three for a word in the name, one for a word in the text."""
+    pairs = top_n(edges(spark, d), ["book_id"], [F.desc("weight"), "a", "b"], 3).select("book_id", "a", "b")
+    words = ["相逢", "夜谈", "论剑"]
+    p = pairs_of(scored(spark, d)).where("season is not null").join(pairs, ["book_id", "a", "b"], "left_semi")
+    named = F.coalesce(F.col("name").rlike("|".join(words)), F.lit(False))
+    told = F.coalesce(F.col("description").rlike("|".join(words)), F.lit(False))
+    fit = F.when(F.col("location").isNotNull(), 2).otherwise(0) + F.when(named, 3).when(told, 1).otherwise(0)
+    best = best_per(p.withColumn("fit", fit), ["book_id", "a", "b", "season"], [F.desc("fit"), F.desc("score"), "id"])
+    return best.select("book_id", "a", "b", "season", "id", "fit", "score")
+
+
+def narrative_unit_dossiers(spark: SparkSession, d: str) -> DataFrame:
+    """Packets of narrative units: synopses of their chapters in order, their key events, a hash."""
+    b = boundary_units(spark, d).select("book_id", "first_unit", "last_unit", "reason", F.explode(F.sequence("first_unit", "last_unit")).alias("unit"))
+    told = b.join(unit_synopsis(spark, d).select("book_id", "unit", "synopsis", "n_events"), ["book_id", "unit"])
+    keys = key_events_per_unit(spark, d).where("rank_no <= 3").groupBy("book_id", "unit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank_no", "id"))), lambda x: x["id"]), ",").alias("keys"))
+    g = told.join(keys, ["book_id", "unit"], "left").groupBy("book_id", "first_unit", "last_unit", "reason")
+    row = F.array_sort(F.collect_list(F.struct("unit", "synopsis", "keys")))
+    out = g.agg(F.sum("n_events").alias("n_events"), row.alias("r"))
+    out = out.select("book_id", "first_unit", "last_unit", "reason", "n_events", F.array_join(F.transform("r", lambda x: x["synopsis"]), "\n").alias("synopses"), F.array_join(F.transform("r", lambda x: x["keys"]), ",").alias("key_events"))
+    return out.withColumn("hash", content_hash("book_id", "first_unit", "last_unit", "synopses", "key_events"))
+
+
+def merge_in_input_order(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptions of roles in the order of ids: a new one (of the editors) over an existing one; those of no role are dropped."""
+    t = table(spark, d, "unified_roles").where("id is not null").dropDuplicates(["record_id"])
+    source = F.lower(F.trim("record_source"))
+    text = F.max(F.struct("updated_at", "record_id", "description"))["description"]
+    new = t.where(source == "editor_desk").groupBy("id").agg(text.alias("new"))
+    old = t.where(F.coalesce(source != "editor_desk", F.lit(True))).groupBy("id").agg(text.alias("old"))
+    j = roles(spark, d).select("book_id", "id").join(new, "id", "left").join(old, "id", "left")
+    return numbered(j, ["book_id"], F.length("id"), ["id"], "place").select("book_id", "place", "id", F.coalesce("new", "old").alias("description"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         prose_split, focused_score, shared_events, shared_events_spread, role_trajectory, season_beats, season_anchors, season_overview, character_arcs, conflict_chains, relation_profiles, entity_packets,
-        union_candidates, insight_filter, roster_gallery, writer_references, oriented_pairs, segment_extraction, dossier_validation, regeneration_candidates, season_rollup,
+        union_candidates, insight_filter, roster_gallery, writer_references, oriented_pairs, segment_extraction, dossier_validation, regeneration_candidates, season_rollup, curated_relationships, narrative_unit_dossiers, merge_in_input_order,
     )
 }
 from sagaloom.plans.graph import _E  # noqa: E402
@@ -281,5 +317,11 @@ SQL = {
         SELECT book_id, 'arc' AS kind, role AS label FROM ar WHERE id IN (SELECT id FROM i) UNION SELECT book_id, 'arc', role FROM q WHERE {sql_overlaps('lo', 'hi', (6, 8))}""",
     "dossier_validation": f"WITH {_IS} SELECT * FROM iss",
     "regeneration_candidates": f"""WITH {_IS}, n AS (SELECT id, count(*) AS issues FROM iss GROUP BY id), t AS (SELECT book_id, n.id, issues, row_number() OVER (PARTITION BY book_id ORDER BY issues DESC, n.id) AS rank_no FROM n JOIN ev ON ev.id = n.id) SELECT * FROM t WHERE rank_no <= 20""",
+    "curated_relationships": f"""WITH ed AS ({_GRAPH['pair_edges']}), {_SX}, cp AS (SELECT book_id, a, b FROM ed QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY weight DESC, a, b) <= 3),
+        q AS (SELECT sx.*, CASE WHEN location IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN regexp_matches(name, '相逢|夜谈|论剑') THEN 3 WHEN regexp_matches(description, '相逢|夜谈|论剑') THEN 1 ELSE 0 END AS fit FROM sx JOIN cp USING (book_id, a, b) WHERE season IS NOT NULL)
+        SELECT book_id, a, b, season, id, fit, score FROM q QUALIFY row_number() OVER (PARTITION BY book_id, a, b, season ORDER BY fit DESC, score DESC, id) = 1""",
+    "merge_in_input_order": f"""WITH {SQL_ROLES}, t AS (SELECT DISTINCT id, record_id, updated_at, description, coalesce(lower(trim(record_source)) = 'editor_desk', false) AS fresh FROM unified_roles WHERE id IS NOT NULL),
+        b AS (SELECT id, fresh, description FROM t QUALIFY row_number() OVER (PARTITION BY id, fresh ORDER BY updated_at DESC NULLS LAST, record_id DESC) = 1)
+        SELECT r.book_id, row_number() OVER (PARTITION BY r.book_id ORDER BY r.id) AS place, r.id, coalesce(n.description, o.description) AS description FROM role r LEFT JOIN b n ON n.id = r.id AND n.fresh LEFT JOIN b o ON o.id = r.id AND NOT o.fresh""",
     "season_rollup": f"WITH {_S} SELECT book_id, season, unit, count(*) AS n, grouping_id(book_id, season, unit) AS level FROM s WHERE unit IS NOT NULL GROUP BY ROLLUP (book_id, season, unit)",
 }
