@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sagaloom.functions.rules import FUNCTION_WORDS, PHASE_RULES, SQL_TEXT, SQL_TYPED, TYPE_WEIGHTS, event_text, event_type, first_best, hits, light_score, lookup, sql_first_best, sql_hits, sql_lookup
 from sagaloom.operators.ranking import best_per, numbered, ranked, top_n, with_previous, with_stats
+from sagaloom.session import cut
 from sagaloom.sources.model import SEASON_UNITS, SQL_EVENTS, SQL_PAIRS, SQL_PEOPLE, SQL_ROLES, SQL_SEASON, events, in_people, pairs_of, roles, season_of
 
 
@@ -125,34 +126,52 @@ def narrative_function(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phases(spark: SparkSession, d: str) -> DataFrame:
-    """Shared events of each pair in order, with the label of the phase; the first without keywords is 初识."""
+    """Shared events of each pair in order, with the label of the phase; the first without keywords is 初识.
+
+    Written to the shared folder once, as the queries below read it several times.
+    """
     p = pairs_of(scored(spark, d))
     p = numbered(p, ["book_id", "a", "b"], F.col("p0"), [F.asc_nulls_last("unit"), "id"], "pos")
     found = first_best(event_text(), PHASE_RULES)
-    return p.withColumn("label", F.coalesce(found, F.when(F.col("pos") == 1, "初识"), F.col("event_type"))).select("book_id", "a", "b", "pos", "label", "id", "p0", "event_type", "action_count", "score")
+    return cut(p.withColumn("label", F.coalesce(found, F.when(F.col("pos") == 1, "初识"), F.col("event_type"))).select("book_id", "a", "b", "pos", "label", "id", "action_count"))
 
 
-def phase_cap4(spark: SparkSession, d: str) -> DataFrame:
-    """Phases of each pair without repeats in a row, the first four."""
-    p = with_previous(phases(spark, d), ["book_id", "a", "b"], "pos", "label").where("_last is null or _last <> label")
+def first_phases(p: DataFrame) -> DataFrame:
+    """Of phases, those that differ from the one before, the first four of each pair."""
+    p = with_previous(p, ["book_id", "a", "b"], "pos", "label").where("_last is null or _last <> label")
     return top_n(p, ["book_id", "a", "b"], ["pos"], 4).select("book_id", "a", "b", "pos", "label", "rank_no")
 
 
-def conflict_window(spark: SparkSession, d: str) -> DataFrame:
-    """Beats of each pair from one before its first conflict to one after its last, else the first six; at most eight."""
+def conflict_beats(p: DataFrame) -> DataFrame:
+    """Of phases, those from one before the pair's first conflict to one after its last, else the first six; at most eight."""
     bad = F.when(F.col("label").isin("冲突", "对立"), F.col("pos"))
-    p = with_stats(phases(spark, d), ["book_id", "a", "b"], [F.min(bad).alias("lo"), F.max(bad).alias("hi")], "id")
+    p = with_stats(p, ["book_id", "a", "b"], [F.min(bad).alias("lo"), F.max(bad).alias("hi")], "id")
     seen = p.where(F.when(F.col("lo").isNotNull(), F.col("pos").between(F.col("lo") - 1, F.col("hi") + 1)).otherwise(F.col("pos") <= 6))
     return top_n(seen, ["book_id", "a", "b"], ["pos"], 8).select("book_id", "a", "b", "pos", "label", "rank_no")
 
 
-def tension_score(spark: SparkSession, d: str) -> DataFrame:
+def tensions(p: DataFrame) -> DataFrame:
     """Tension of each pair between 1 and 10 from its conflict beats and actions."""
-    beats = conflict_window(spark, d).groupBy("book_id", "a", "b").agg(F.count(F.when(F.col("label").isin("冲突", "对立"), 1)).alias("beats"))
-    acts = phases(spark, d).groupBy("book_id", "a", "b").agg(F.sum(F.coalesce("action_count", F.lit(0))).alias("actions"))
+    beats = conflict_beats(p).groupBy("book_id", "a", "b").agg(F.count(F.when(F.col("label").isin("冲突", "对立"), 1)).alias("beats"))
+    acts = p.groupBy("book_id", "a", "b").agg(F.sum(F.coalesce("action_count", F.lit(0))).alias("actions"))
     return beats.join(acts, ["book_id", "a", "b"]).select("book_id", "a", "b", F.greatest(F.lit(1), F.least(F.lit(10), 2 * F.col("beats") + F.least("actions", F.lit(4)))).cast("long").alias("tension"))
 
 
+def phase_cap4(spark: SparkSession, d: str) -> DataFrame:
+    """Phases of each pair without repeats in a row, the first four."""
+    return first_phases(phases(spark, d))
+
+
+def conflict_window(spark: SparkSession, d: str) -> DataFrame:
+    """Beats around the conflicts of each pair."""
+    return conflict_beats(phases(spark, d))
+
+
+def tension_score(spark: SparkSession, d: str) -> DataFrame:
+    """Tension of each pair."""
+    return tensions(phases(spark, d))
+
+
 def arc_top8(spark: SparkSession, d: str) -> DataFrame:
     """The eight best events of each role, numbered by time again."""
     p = in_people(scored(spark, d)).select("book_id", "role", "id", "score", "p0")

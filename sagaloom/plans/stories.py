@@ -12,7 +12,7 @@ from sagaloom.functions.text import prose_sentences
 from sagaloom.operators.merging import content_hash
 from sagaloom.operators.ranking import best_per, numbered, ranked, top_n, with_previous
 from sagaloom.plans.graph import edges
-from sagaloom.plans.seasons import _KEY, _S, _SP, _SX, arc_top8, boundary_units, key_events_per_unit, key_scored, phase_cap4, roster_top24, scored, tension_score, unit_synopsis
+from sagaloom.plans.seasons import _KEY, _S, _SP, _SX, arc_top8, boundary_units, first_phases, key_events_per_unit, key_scored, phases, roster_top24, scored, tensions, unit_synopsis
 from sagaloom.plans.text_rules import ACTION_RULES, dictionary_mentions
 from sagaloom.plans.timeline import PROGRESS, UNITS
 from sagaloom.sources.model import SQL_EVENTS, SQL_ROLES, events, in_people, pairs_of, roles, season_of
@@ -139,8 +139,9 @@ def character_arcs(spark: SparkSession, d: str) -> DataFrame:
 
 def conflict_chains(spark: SparkSession, d: str) -> DataFrame:
     """Pairs with a tension of five or more, with their phases in order."""
-    p = phase_cap4(spark, d).groupBy("book_id", "a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank_no", "label"))), lambda x: x["label"]), "→").alias("phases"))
-    return tension_score(spark, d).where("tension >= 5").join(p, ["book_id", "a", "b"])
+    every = phases(spark, d)
+    p = first_phases(every).groupBy("book_id", "a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank_no", "label"))), lambda x: x["label"]), "→").alias("phases"))
+    return tensions(every).where("tension >= 5").join(p, ["book_id", "a", "b"])
 
 
 def relation_profiles(spark: SparkSession, d: str) -> DataFrame:
