@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "sagaloom", cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -22,6 +25,25 @@ def build_session(app: str = "sagaloom", cores: int | str = 8, shuffle_partition
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package once per application, so that they need no path of the driver's machine."""
+    app = spark.sparkContext.applicationId
+    here = Path(__file__).resolve().parent
+    if app in _SHIPPED or not here.is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="sagaloom-")) / "sagaloom_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
