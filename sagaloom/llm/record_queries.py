@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagaloom.llm.components import connected_components, star_edges
+from sagaloom.llm.fusion import fuse_values
 from sagaloom.llm.names import link_names
-from sagaloom.llm.survivors import STAND_INS, surviving_records
+from sagaloom.llm.survivors import STAND_INS, is_value, squeezed, surviving_records
 from sagaloom.sources.tables import table
 
 
@@ -50,6 +51,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surviving_records(table(spark, sf_dir, "unified_roles"), table(spark, sf_dir, "source_trust"))
 
 
+def p7_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most probable canonical name and description of each role id, with its posterior, fused over sources."""
+    t = table(spark, sf_dir, "unified_roles").where("id is not null")
+    source = F.coalesce(F.nullif(F.lower(squeezed(F.col("record_source"))), F.lit("")), F.lit("unlisted"))
+    fields = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), squeezed(F.col(f)).alias("value")) for f in ("canonical_name", "description"))))
+    claims = t.select(F.col("id").alias("object_id"), source.alias("source"), F.col("updated_at").alias("claim_order"), fields.alias("f")).select("object_id", "source", "claim_order", "f.*")
+    return fuse_values(claims.where(is_value(F.col("value")))).select(F.col("object_id").alias("id"), "field_name", "value", F.round("posterior", 4).alias("posterior"))
+
+
 _P5 = """
 WITH RECURSIVE named AS (
   SELECT 'role' AS kind, record_id AS k, book_id, unnest(all_names) AS name FROM unified_roles
@@ -91,5 +101,5 @@ SELECT id, field_name, record_id FROM scored
 QUALIFY row_number() OVER (PARTITION BY id, field_name ORDER BY m DESC, updated_at DESC NULLS LAST, record_id) = 1
 """
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_fused": p7_fused}
 SQL = {"p5_found": _P5, "p7_found": _P7}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sagaloom.llm import abuse, bpe, lookalikes
 from sagaloom.llm.abuse import flag_documents, rates_by_source
 from sagaloom.llm.components import connected_components, star_edges
+from sagaloom.llm.fusion import fuse_values
 from sagaloom.llm.leakage import find_leaks, fingerprints, letters_of
 from sagaloom.llm.lookalikes import one_form, same_look_pairs, same_shapes
 from sagaloom.llm.names import NameForms, link_names, within
@@ -253,6 +254,25 @@ def test_survivors(spark):
     assert surviving_records(roles.limit(0), trust).count() == 0
 
 
+def test_fusion_discounts_copies(spark):
+    """Three sources copy each other's mistakes; two independent good ones are fewer and still win."""
+    rng = random.Random(11)
+    rows = []
+    for n in range(120):
+        right = f"right{n}"
+        for s, p in (("good1", 0.9), ("good2", 0.85)):
+            rows.append((n, "f", s, right if rng.random() < p else f"slip{rng.randrange(10)}", 1))
+        lie = right if rng.random() < 0.35 else f"lie{rng.randrange(10)}"
+        rows += [(n, "f", s, lie, 1) for s in ("copy1", "copy2", "copy3")]
+    rows += [(0, "f", "good1", "older", 0), (500, "f", "good1", None, 1), (501, "f", None, "x", 1), (502, "f", "copy1", "only", 1)]
+    claims = spark.createDataFrame(rows, "object_id long, field_name string, source string, value string, claim_order int")
+    got = {r.object_id: r.value for r in fuse_values(claims).collect()}
+    both_right = [n for n in range(120) if sum(r[0] == n and r[2].startswith("good") and r[3] == f"right{n}" for r in rows if r[2]) == 2]
+    assert np.mean([got[n] == f"right{n}" for n in both_right]) > 0.95
+    assert got[502] == "only" and 500 not in got and 501 not in got
+    assert fuse_values(claims.limit(0)).count() == 0
+
+
 # --- problem 8
 
 
