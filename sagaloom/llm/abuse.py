@@ -4,7 +4,13 @@ All texts of a batch become one stream of folded letters: case, width, accents a
 signs read as letters, stretched letters shortened, and everything dropped that is set between letters to hide a term. Pieces
 of the lexicon's terms lie in a trie that is walked from all positions in step; around each piece found, the Levenshtein
 automaton of its term runs over the window, as bit sets, for all windows at once, and accepts the term with up to its number
-of errors. Masked letters (c*****n) match any letter.
+of errors. Masked letters (c*****n) match any letter, in the walk (a star follows every edge) as in the automata, as long as
+half of the term, and two letters of it, can be read; a single star between letters, or stars at one side of a word only
+(fu**), are letters or nothing.
+
+Terms too short for pieces are walked whole. Their misspellings, written out beforehand, have a trie of their own: one letter
+too many, missing, other or two exchanged, the first letter kept and whole words only; of ideographs, one replaced by another
+of the same sound, where terms of two or three need a cue (a word like 个 before them or another term of attack in the sentence).
 
 A sentence is the context window. It scores, per category, the sum of the weights of its distinct terms, and terms of report,
 play, vermin and medicine lower the score of all categories; a score of 1 is a finding. So a report that quotes a harsh word
@@ -22,11 +28,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagaloom.llm.bpe import IntMap
 from sagaloom.llm.letters import letter_table
+from sagaloom.llm.names import sounds
 
 CATEGORIES = ("abuse", "hate", "sexual")
 
@@ -51,7 +58,10 @@ LEXICON: list[tuple[str, float, str]] = [
 ]
 #: Signs read as the letters they imitate, characters set in for others, and separators that are letters by class.
 SIGNS = {"$": "s", "0": "o", "1": "i", "3": "e", "@": "a", "4": "a", "5": "s", "7": "t", "亖": "死", "勾": "狗", "丨": "", "ـ": ""}
-_WILD = 1
+#: Ideographs that name somebody something; before a short term they confirm a misspelling.
+NAMING = "个個群帮幫种種是死臭老"
+_WILD, _MAYBE = 1, 2  # stars that stand for a letter; single ones and those at the edge of a word, which may
+_LONGEST_MASK = 30  # half of the longest term; nothing is legible in a longer run
 
 
 @lru_cache(1)
@@ -69,12 +79,98 @@ def folded(text: str) -> list[int]:
     return got
 
 
+class Trie:
+    """Words with their node numbers, walked from many positions at once; room is how many stars a word may hold."""
+
+    def __init__(self, words: list[tuple[tuple[int, ...], int]]):
+        goto: dict[int, int] = {}
+        self.ends, self.room = [-1], [0]
+        for n, (word, room) in enumerate(words):
+            node = 0
+            for c in word:
+                key = node << 21 | c
+                if key not in goto:
+                    goto[key] = len(self.ends)
+                    self.ends.append(-1)
+                    self.room.append(0)
+                node = goto[key]
+                self.room[node] = max(self.room[node], room)
+            self.ends[node] = n
+        keys = np.fromiter(goto.keys(), np.int64, len(goto))
+        to = np.fromiter(goto.values(), np.int64, len(goto))
+        self.goto = IntMap(keys, to)
+        self.ends, self.room = np.array(self.ends), np.array(self.room)
+        self.word_room = np.array([r for _, r in words], np.int64)
+        self.first = np.zeros(0x110000, bool)
+        self.first[keys[keys >> 21 == 0]] = True
+        parent = keys >> 21
+        self.child = to[np.argsort(parent, kind="stable")]
+        self.child_start = np.searchsorted(np.sort(parent), np.arange(len(self.ends) + 1))
+
+    def walk(self, stream: np.ndarray, stars: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end (exclusive) and word of every place where a word stands; with stars, these follow every edge."""
+        parts = [self._walk(stream, np.flatnonzero(self.first[stream]), stars)]
+        if stars:  # a walk may begin in a mask: by blocks, as it has every first letter
+            at = np.flatnonzero((stream == _WILD) | (stream == _MAYBE))
+            parts += [self._walk(stream, at[i : i + 2048], stars) for i in range(0, len(at), 2048)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _walk(self, stream: np.ndarray, at: np.ndarray, stars: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        node, pos, used = np.zeros(len(at), np.int64), at, np.zeros(len(at), np.int64)
+        none = np.zeros(0, np.int64)
+        hits, stops, words = [none], [none], [none]
+        while len(at):
+            c = stream[pos]
+            star = ((c == _WILD) | (c == _MAYBE)) & stars
+            lit = ~star
+            to = self.goto.get(node[lit] << 21 | c[lit]).astype(np.int64)
+            ok = to >= 0
+            at_, to, pos_, used_ = at[lit][ok], to[ok], pos[lit][ok] + 1, used[lit][ok]
+            stay = none
+            if star.any():
+                s = np.flatnonzero(star)
+                many = self.child_start[node[s] + 1] - self.child_start[node[s]]
+                each = np.repeat(s, many)
+                down = self.child[np.repeat(self.child_start[node[s]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+                ok = used[each] + 1 <= self.room[down]
+                each, down = each[ok], down[ok]
+                stay = np.flatnonzero(star & (c == _MAYBE) & (node > 0))
+                at_, to = np.concatenate([at_, at[each]]), np.concatenate([to, down])
+                pos_, used_ = np.concatenate([pos_, pos[each] + 1]), np.concatenate([used_, used[each] + 1])
+            e = self.ends[to]
+            good = (e >= 0) & (used_ <= self.word_room[e])
+            hits.append(at_[good])
+            stops.append(pos_[good])
+            words.append(e[good])
+            at, node = np.concatenate([at_, at[stay]]), np.concatenate([to, node[stay]])
+            pos, used = np.concatenate([pos_, pos[stay] + 1]), np.concatenate([used_, used[stay]])
+            ok = pos < len(stream)
+            at, node, pos, used = at[ok], node[ok], pos[ok], used[ok]
+        return np.concatenate(hits), np.concatenate(stops), np.concatenate(words)
+
+
+def misspelled(term: list[int], alike: dict[str, str]) -> set[tuple[int, ...]]:
+    """Spellings of a short term with one error: of letters any edit after the first, of ideographs one of the same sound."""
+    got = set()
+    if term[0] > 0x2E80:
+        for i, c in enumerate(term):
+            got |= {(*term[:i], ord(x), *term[i + 1 :]) for x in alike.get(chr(c), "")}
+    else:
+        letters = [*range(ord("a"), ord("z") + 1), *(range(0x430, 0x450) if max(term) >= 0x400 else ())]
+        for i in range(1, len(term)):
+            head, tail = term[:i], term[i + 1 :]
+            got |= {(*head, *tail), (*head, *term[i + 1 : i + 2], term[i], *term[i + 2 :])}
+            got |= {(*head, x, *tail) for x in letters} | {(*head, x, *term[i:]) for x in letters}
+    return {v for v in (tuple(c for i, c in enumerate(w) if not i or c != w[i - 1]) for w in got) if v != tuple(term)}
+
+
 class Matcher:
-    """The lexicon's trie of pieces and the bit automata of its terms."""
+    """The lexicon's tries of pieces and of misspelled short terms, and the bit automata of its terms."""
 
-    def __init__(self, lexicon: list[tuple[str, float, str]]):
+    def __init__(self, lexicon: list[tuple[str, float, str]], alike: dict[str, str] | None = None):
         self.terms, self.kind, self.weight, self.errors = [], [], [], []
         pieces: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        short: dict[tuple[int, ...], int] = {}
         for category, weight, group in lexicon:
             for term in group.split("/"):
                 t = folded(term)[:60]
@@ -83,32 +179,25 @@ class Matcher:
                 cuts = [len(t) * i // (k + 1) for i in range(k + 2)]
                 for a, z in zip(cuts, cuts[1:]):
                     pieces.setdefault(tuple(t[a:z]), []).append((len(self.terms), a))
+                if not k and category and (wide or len(t) >= 6):
+                    for v in sorted(misspelled(t, alike or {})):
+                        short.setdefault(v, len(self.terms))
                 self.terms.append(t)
                 self.kind.append(CATEGORIES.index(category) if category else -1)
                 self.weight.append(weight)
                 self.errors.append(k)
-        goto: dict[int, int] = {}
-        ends = [-1]
-        uses: list[list[tuple[int, int]]] = []
-        for p, used in pieces.items():
-            node = 0
-            for c in p:
-                key = node << 21 | c
-                if key not in goto:
-                    goto[key] = len(ends)
-                    ends.append(-1)
-                node = goto[key]
-            ends[node] = len(uses)
-            uses.append(used)
-        self.goto = IntMap(np.fromiter(goto.keys(), np.int64), np.fromiter(goto.values(), np.int64))
-        self.first = np.zeros(0x110000, bool)
-        self.first[[k for k in goto if k >> 21 == 0]] = True
-        self.ends = np.array(ends)
+        self.size = np.array([len(t) for t in self.terms])
+        self.kinds, self.weights, self.allowed = np.array(self.kind), np.array(self.weight), np.array(self.errors)
+        self.legible = np.minimum(self.size, np.maximum(2, (self.size + 1) // 2))
+        uses = list(pieces.values())
+        self.trie = Trie([(p, int(min(len(p), max(self.size[t] - self.legible[t] for t, _ in used)))) for p, used in pieces.items()])
         self.use_start = np.cumsum([0, *map(len, uses)])
         self.use_term = np.array([t for u in uses for t, _ in u])
         self.use_off = np.array([o for u in uses for _, o in u])
-        self.size = np.array([len(t) for t in self.terms])
-        self.kinds, self.weights, self.allowed = np.array(self.kind), np.array(self.weight), np.array(self.errors)
+        exact = {tuple(t) for t in self.terms}
+        variants = [(v, t) for v, t in short.items() if v not in exact]
+        self.variants = Trie([(v, 0) for v, _ in variants])
+        self.variant_term = np.array([t for _, t in variants], np.int64)
         letters = sorted({c for t in self.terms for c in t})
         self.letter = np.zeros(0x110000, np.int32)
         self.letter[letters] = np.arange(1, len(letters) + 1)
@@ -117,52 +206,76 @@ class Matcher:
             for i, c in enumerate(t):
                 self.bits[n, self.letter[c]] |= np.uint64(1 << i)
             self.bits[n, -1] = np.uint64((1 << len(t)) - 1)
-        self.letter[_WILD] = len(letters) + 1
+        self.letter[[_WILD, _MAYBE]] = len(letters) + 1
 
-    def found(self, stream: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sentence and term of every accepted term, each once."""
-        at = np.flatnonzero(self.first[stream])
-        node, depth, hits, pieces = np.zeros(len(at), np.int64), 0, [], []
-        while len(at):
-            node = self.goto.get(node << 21 | stream[at + depth]).astype(np.int64)
-            ok = node >= 0
-            at, node = at[ok], node[ok]
-            e = self.ends[node]
-            hits.append(at[e >= 0])
-            pieces.append(e[e >= 0])
-            depth += 1
-            ok = at + depth < len(stream)
-            at, node = at[ok], node[ok]
-        at, piece = np.concatenate(hits or [np.zeros(0, np.int64)]), np.concatenate(pieces or [np.zeros(0, np.int64)])
+    def found(self, stream: np.ndarray, sentence: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Sentence and term of every accepted term, each once; word numbers the words of the stream."""
+        at, end, piece = self.trie.walk(stream, True)
         many = self.use_start[piece + 1] - self.use_start[piece]
         use = np.repeat(self.use_start[piece], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at = np.repeat(at, many)
+        at, end = np.repeat(at, many), np.repeat(end, many)
         term = self.use_term[use]
-        sent = sentence[at]
-        # one window per sentence, term and place of its start
-        start = at - self.use_off[use]
-        _, one = np.unique(np.stack([term, start]), axis=1, return_index=True)
-        start, term, sent = start[one], term[one], sent[one]
-        good = self.accept(stream, sentence, start, term, sent)
-        got = np.unique(np.stack([sent[good], term[good]]), axis=1)
+        # short terms stand whole
+        whole = (self.allowed[term] == 0) & (sentence[at] == sentence[end - 1])
+        sents, terms = [sentence[at[whole]]], [term[whole]]
+        # one window per sentence, term and place of its start; single stars in it may be no letters
+        long = self.allowed[term] > 0
+        at, term, off = at[long], term[long], self.use_off[use][long]
+        sent, k, maybe = sentence[at], self.allowed[term], np.append(0, np.cumsum(stream == _MAYBE))
+        letters = np.append(np.flatnonzero(stream != _MAYBE), len(stream))
+        rank = at - maybe[at]
+        start = rank - off - k
+        start = np.where(start < 0, start, letters[np.clip(start, 0, len(letters) - 1)])
+        stop = letters[np.clip(rank - off + self.size[term] + k, 0, len(letters) - 1)]
+        steps = np.maximum(stop - start, self.size[term] + 2 * k)
+        _, one = np.unique(np.stack([term, start, steps, sent]), axis=1, return_index=True)
+        start, steps, term, sent = start[one], steps[one], term[one], sent[one]
+        good = self.accept(stream, sentence, start, steps, term, sent)
+        start, steps, term, sent = start[good], steps[good], term[good], sent[good]
+        stars = np.append(0, np.cumsum((stream == _WILD) | (stream == _MAYBE)))
+        starred = stars[np.clip(start + steps, 0, len(stream))] > stars[np.clip(start, 0, len(stream))]
+        good = ~starred
+        for n in np.array_split(np.flatnonzero(starred), 1 + starred.sum() // 4096):
+            good[n] = self.legibly(stream, sentence, start[n], steps[n], term[n], sent[n])
+        sents.append(sent[good])
+        terms.append(term[good])
+        if len(self.variant_term):
+            s, t = self._misspelled(stream, sentence, word, np.unique(np.concatenate(sents)[self.kinds[np.concatenate(terms)] >= 0]))
+            sents.append(s)
+            terms.append(t)
+        got = np.unique(np.stack([np.concatenate(sents), np.concatenate(terms)]), axis=1)
         return got[0], got[1]
 
-    def accept(self, stream: np.ndarray, sentence: np.ndarray, start: np.ndarray, term: np.ndarray, sent: np.ndarray) -> np.ndarray:
+    def _misspelled(self, stream: np.ndarray, sentence: np.ndarray, word: np.ndarray | None, attacks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sentence and term of misspelled short terms whose surroundings confirm them; attacks are sentences with other terms."""
+        at, end, v = self.variants.walk(stream, False)
+        ok = sentence[at] == sentence[end - 1]
+        at, end, term = at[ok], end[ok], self.variant_term[v[ok]]
+        wide = np.array([t[0] > 0x2E80 for t in self.terms])[term]
+        before, after = np.maximum(at - 1, 0), np.minimum(end, len(stream) - 1)
+        named = np.isin(stream[before], _NAMING) & (at > 0) & (sentence[before] == sentence[at])
+        word = sentence if word is None else word
+        bounded = ((at == 0) | (word[before] != word[at])) & ((end == len(stream)) | (word[after] != word[end - 1]))
+        good = np.where(wide, (self.size[term] > 3) | named | np.isin(sentence[at], attacks), bounded)
+        return sentence[at[good]], term[good]
+
+    def accept(self, stream: np.ndarray, sentence: np.ndarray, start: np.ndarray, steps: np.ndarray, term: np.ndarray, sent: np.ndarray) -> np.ndarray:
         """Run the automata: level e of an automaton holds the prefixes of the term reached with at most e errors."""
         k, size = self.allowed[term], self.size[term]
         levels = int(k.max()) + 1 if len(k) else 1
         one, done = np.uint64(1), np.zeros(len(start), bool)
         state = [np.full(len(start), (1 << e) - 1, np.uint64) for e in range(levels)]
         last = one << (size - 1).astype(np.uint64)
-        for j in range(int((size + 2 * k).max()) if len(k) else 0):
-            p = start - k + j
-            live = (p >= 0) & (p < len(stream)) & (j < size + 2 * k)
+        for j in range(int(steps.max()) if len(k) else 0):
+            p = start + j
+            live = (p >= 0) & (p < len(stream)) & (j < steps)
             q = np.where(live, p, 0)
             live &= sentence[q] == sent
             mask = np.where(live, self.bits[term, self.letter[stream[q]]], np.uint64(0))
+            nothing = np.where(live & (stream[q] == _MAYBE), ~np.uint64(0), np.uint64(0))
             new = []
             for e in range(levels):
-                step = ((state[e] << one) | one) & mask
+                step = ((state[e] << one) | one) & mask | state[e] & nothing
                 if e:  # a letter too many, another letter, a letter missing
                     step |= state[e - 1] | (state[e - 1] << one) | (new[e - 1] << one) | one
                 new.append(step)
@@ -171,6 +284,42 @@ class Matcher:
                 done |= live & (k >= e) & ((state[e] & last) != 0)
         return done
 
+    def legibly(self, stream: np.ndarray, sentence: np.ndarray, start: np.ndarray, steps: np.ndarray, term: np.ndarray, sent: np.ndarray) -> np.ndarray:
+        """Which windows with stars hold the term with enough letters that are neither starred nor wrong.
+
+        least[e][:, i] is the least number of stars read as letters in the first i letters of the term, with e errors.
+        """
+        if not len(term):
+            return np.zeros(0, bool)
+        k, size, done = self.allowed[term], self.size[term], np.zeros(len(term), bool)
+        spelled = np.zeros((len(term), int(size.max())), np.int64)
+        for n, t in enumerate(term):
+            spelled[n, : size[n]] = self.terms[t]
+        least = [np.where(np.arange(spelled.shape[1] + 1) <= e, 0, 99) + np.zeros((len(term), 1), np.int64) for e in range(int(k.max()) + 1)]
+        row = np.arange(len(term))
+        for j in range(int(steps.max())):
+            p = start + j
+            live = (p >= 0) & (p < len(stream)) & (j < steps)
+            q = np.where(live, p, 0)
+            live &= sentence[q] == sent
+            c = stream[q].astype(np.int64)[:, None]
+            star = ((c == _WILD) | (c == _MAYBE)) & live[:, None]
+            cost = np.where(star, 1, np.where((c == spelled) & live[:, None], 0, 99))
+            skip = np.where((c == _MAYBE) & live[:, None], 0, 99)
+            new = []
+            for e, old in enumerate(least):
+                step = old + skip
+                step[:, 0] = 0
+                step[:, 1:] = np.minimum(step[:, 1:], old[:, :-1] + cost)
+                if e:  # a letter too many, another letter, a letter missing
+                    step = np.minimum(step, least[e - 1])
+                    step[:, 1:] = np.minimum(step[:, 1:], np.minimum(least[e - 1][:, :-1], new[e - 1][:, :-1]))
+                new.append(np.minimum(step, 99))
+            least = new
+            for e, now in enumerate(least):
+                done |= live & (k >= e) & (now[row, size] + e <= size - self.legible[term])
+        return done
+
     def findings(self, texts: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, category and best sentence score of every finding in an Arrow string array."""
         raw = b"".join(texts.drop_null().cast(pa.binary()).to_pylist())
@@ -179,7 +328,6 @@ class Matcher:
         if not len(codes):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         fold = _fold()[codes]
-        fold[_masked(codes, fold)] = _WILD
         stop = np.isin(codes, _STOPS)
         dot = np.flatnonzero(codes == 46)  # a full stop before a space, but not the dots of a spelled-out word
         after = codes[np.minimum(dot + 1, len(codes) - 1)]
@@ -189,12 +337,14 @@ class Matcher:
         starts[1:] = stop[:-1]
         starts[row_start[row_start < len(codes)]] = 1
         sentence = np.cumsum(starts)
+        mask, maybe = _masked(codes, fold, starts)
+        fold[mask], fold[maybe] = _WILD, _MAYBE
         kept = np.flatnonzero(fold)
         stream, place = fold[kept], sentence[kept]
         keep = np.ones(len(stream), bool)
-        keep[1:] = (stream[1:] != stream[:-1]) | (place[1:] != place[:-1]) | (stream[1:] == _WILD)
+        keep[1:] = (stream[1:] != stream[:-1]) | (place[1:] != place[:-1]) | (stream[1:] <= _MAYBE)
         stream, place, kept = stream[keep], place[keep], kept[keep]
-        sent, term = self.found(stream, place)
+        sent, term = self.found(stream, place, np.cumsum((fold == 0) | (starts > 0))[kept])
         if not len(sent):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         every, back = np.unique(sent, return_inverse=True)
@@ -212,32 +362,50 @@ class Matcher:
 
 
 _STOPS = np.array([ord(c) for c in "。！？!?\n｡।"], np.uint32)
+_NAMING = np.array([ord(c) for c in NAMING], np.uint32)
 
 
-def _masked(codes: np.ndarray, fold: np.ndarray) -> np.ndarray:
-    """Positions of stars that mask letters: runs of two or more between letters of one word."""
+def _masked(codes: np.ndarray, fold: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of stars that mask letters: runs of two or more between letters, and those that may: single ones between
+    letters, longer runs with a letter at one side."""
     star = np.flatnonzero(codes == 42)
     if not len(star):
-        return star
+        return star, star
     new = np.append(True, np.diff(star) > 1)
     run = np.cumsum(new) - 1
     first, last = star[new], star[np.append(new[1:], True)]
-    inside = (first > 0) & (last < len(codes) - 1) & (last > first)
-    inside &= (fold[np.maximum(first - 1, 0)] > 0) & (fold[np.minimum(last + 1, len(codes) - 1)] > 0)
-    return star[inside[run]]
+    length = last - first + 1
+    left = (first > 0) & (starts[first] == 0) & (fold[np.maximum(first - 1, 0)] > 0)
+    after = np.minimum(last + 1, len(codes) - 1)
+    right = (last < len(codes) - 1) & (starts[after] == 0) & (fold[after] > 0)
+    fits = length <= _LONGEST_MASK
+    wild = fits & left & right & (length > 1)
+    maybe = fits & np.where(length > 1, left ^ right, left & right)
+    return star[wild[run]], star[maybe[run]]
+
+
+def same_sound(spark: SparkSession) -> dict[str, str]:
+    """The ideographs of the same sound as each one in the lexicon's short terms."""
+    sound = sounds(spark)
+    by: dict[str, list[str]] = {}
+    for c, x in sound.items():
+        by.setdefault(x, []).append(c)
+    need = {c for category, _, group in LEXICON if category for t in group.split("/") if len(t) < 5 for c in t if c in sound}
+    return {c: "".join(x for x in by[sound[c]] if x != c) for c in sorted(need)}
 
 
 @lru_cache(1)
-def matcher() -> Matcher:
+def matcher(alike: tuple[tuple[str, str], ...] = ()) -> Matcher:
     """The matcher of the lexicon, one per worker."""
-    return Matcher(LEXICON)
+    return Matcher(LEXICON, dict(alike))
 
 
 def flag_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 1.0, slice_bytes: int = 4 << 20) -> DataFrame:
     """key, category, score: findings per document and category, with the score of its worst sentence; no text is shuffled."""
+    alike = tuple(same_sound(docs.sparkSession).items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matcher()
+        m = matcher(alike)
         for b in batches:
             keys, texts, a = b.column(0), b.column(1), 0
             size = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), np.int64))

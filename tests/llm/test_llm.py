@@ -355,6 +355,18 @@ def test_flags(spark):
     assert flag_documents(docs.limit(0)).count() == 0
 
 
+def test_masked_and_misspelled_short_terms(spark):
+    hit = [
+        "f**k you, he said.", "So fu** you.", "f*ck you", "fcuk you", "fuk you", "You fuck yuo", "他满嘴喷糞。", "你这王*蛋", "这个傻比", "他满**粪。", "一群王八旦", "r*t in a d**ch, y**r f*lthy m**th: n**ody w**ts y**r ga**age h**e",
+        "傻*逼",
+    ]
+    clean = [
+        "good luck you two", "the truck you drove", "不要连累他。", "又脏又乱", "我**了", "见人就笑", "王**你", "a****************************************b", "这是**重点**内容，一*二*三", "大人*你来了",
+    ]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(hit + clean)], "doc_id long, text string")
+    assert {r.doc_id for r in flag_documents(docs).collect()} == set(range(len(hit)))
+
+
 def brute_near(term: list[int], stream: list[int], k: int) -> bool:
     row = [0] * (len(stream) + 1)
     for i, c in enumerate(term, 1):
