@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sagaloom.functions.rules import FUNCTION_WORDS, PHASE_RULES, SQL_TEXT, SQL_TYPED, TYPE_WEIGHTS, event_text, event_type, first_best, hits, light_score, lookup, sql_first_best, sql_hits, sql_lookup
 from sagaloom.operators.ranking import best_per, numbered, ranked, top_n, with_previous, with_stats
 from sagaloom.session import cut
-from sagaloom.sources.model import SEASON_UNITS, SQL_EVENTS, SQL_PAIRS, SQL_PEOPLE, SQL_ROLES, SQL_SEASON, events, in_people, pairs_of, roles, season_of
+from sagaloom.sources.model import SEASON_UNITS, SQL_EVENTS, SQL_PAIRS, SQL_PEOPLE, SQL_ROLES, SQL_SEASON, events, in_people, locations, pairs_of, roles, season_of
+
+#: Threads by name, words of the clues, words of the payoffs.
+FORESHADOWING = [("失钥旧账", ["失钥", "钥匙"], ["旧账", "账册"])]
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +208,8 @@ def spread_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def foreshadow_match(spark: SparkSession, d: str) -> DataFrame:
-    """Clues (失钥) and payoffs (旧账): relevance by where the words stand and how many take part; a payoff needs a clue in or before its unit."""
+    """Clues (失钥) and payoffs (旧账): relevance by where the words stand and how many take part; names only, one clue a
+    book, and payoffs from that clue's unit on, as its SQL has it. The whole threads are in foreshadow_threads."""
 
     def relevance(words: list[str]):
         by = 5 * hits(F.col("name"), words) + 3 * hits(F.col("significance"), words) + hits(F.col("description"), words)
@@ -216,6 +222,41 @@ def foreshadow_match(spark: SparkSession, d: str) -> DataFrame:
     return top_n(pay.join(first, "book_id").where("payoff_unit >= clue_unit"), ["book_id"], [F.desc("payoff_score"), "payoff_unit", "payoff_id"], 3)
 
 
+def foreshadow_threads(spark: SparkSession, d: str, patterns: list[tuple[str, list[str], list[str]]] = FORESHADOWING, most: int = 5) -> DataFrame:
+    """Clues and payoffs of each pattern in a book, up to five of each spread over the units, in the order of time.
+
+    The words may stand in name, description, significance or place. A payoff's unit is not before the first clue's; events
+    without a unit pass. A thread needs both sides.
+    """
+    place = locations(spark, d).select(F.col("id").alias("location"), F.col("canonical_name").alias("place"))
+    s = scored(spark, d).join(place, "location", "left").withColumn("place", F.coalesce("place", "location"))
+    types = reduce(lambda a, b: a + b, [F.coalesce(F.col("event_type").contains(t).cast("int"), F.lit(0)) for t in ["揭示", "立势", "转折", "冲突", "会见", "别离"]])
+    company = F.when(F.size("people").between(1, 4), 2).when(F.size("people") > 10, -3).otherwise(0)
+
+    def side(thread: str, kind: str, words: list[str]) -> Column:
+        here = hits(F.col("name"), words) + hits(F.col("description"), words) + hits(F.col("significance"), words) + hits(F.col("place"), words)
+        by = 5 * hits(F.col("name"), words) + 3 * hits(F.col("significance"), words) + hits(F.col("description"), words)
+        return F.when(here > 0, F.struct(F.lit(thread).alias("thread"), F.lit(kind).alias("side"), (by + 2 * types + company).alias("relevance")))
+
+    sides = F.array(*(side(t, kind, words) for t, clue, payoff in patterns for kind, words in (("clue", clue), ("payoff", payoff))))
+    e = s.select("book_id", "id", "name", "unit", "p0", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("x")).select("book_id", "id", "name", "unit", "p0", "x.*")
+    thread, each = ["book_id", "thread"], ["book_id", "thread", "side"]
+    late = F.coalesce(F.nullif("p0", F.lit(0)), F.lit(10**12)), F.coalesce(F.nullif("unit", F.lit(0)), F.lit(10**12))
+    order = [F.desc("relevance"), *late, "id"]
+    one = best_per(e, [*each, "name", "unit"], order)
+    # which units are taken is found on one row per unit
+    in_thread, in_side = Window.partitionBy(*thread), Window.partitionBy(*each)
+    u = one.groupBy(*each, "unit").agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.min(F.when(F.col("side") == "clue", F.col("unit"))).over(in_thread))
+    u = u.where("side = 'clue' or unit is null or _first is null or unit >= _first").withColumn("_unit", F.coalesce("unit", F.lit(0)))
+    u = u.withColumn("_sides", F.size(F.collect_set("side").over(in_thread))).withColumn("_all", F.sum("_n").over(in_side))
+    u = u.withColumn("_pos", F.dense_rank().over(in_side.orderBy("_unit"))).withColumn("_units", F.max("_pos").over(in_side))
+    step = F.greatest(F.lit(1), F.when(F.col("_units") > most, F.floor(F.col("_units") / most)))
+    u = u.where("_sides = 2").where((F.col("_all") <= most) | ((F.col("_pos") - 1) % step == 0) & (F.floor((F.col("_pos") - 1) / step) < most))
+    u = u.select(F.struct(*each, "unit").alias("_k"), "_unit", "_all")
+    kept = ranked(one.withColumn("_k", F.struct(*each, "unit")).join(u, "_k"), [*each, "_unit"], order, "_best").where((F.col("_all") <= most) | (F.col("_best") == 1))
+    return ranked(kept.select(*each, "id", "unit", "p0", "relevance"), each, [*late, "id"], "pos")
+
+
 def jaccard_adjacent_units(spark: SparkSession, d: str) -> DataFrame:
     """Likeness of each unit's roles and places to those of the next; two empty sets are alike."""
     s = scored(spark, d).where("unit is not null")
@@ -351,7 +392,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         season_ranges, season_role_density, season_top_locations, evidence_gate, cross_season_overlap, role_spans, event_light_score, name_frequency, recurring_patterns, key_events_per_unit,
-        unit_synopsis, narrative_function, phase_cap4, conflict_window, tension_score, arc_top8, excerpt_buckets, near_best_shortlist, spread_dedup, foreshadow_match, jaccard_adjacent_units,
+        unit_synopsis, narrative_function, phase_cap4, conflict_window, tension_score, arc_top8, excerpt_buckets, near_best_shortlist, spread_dedup, foreshadow_match, foreshadow_threads, jaccard_adjacent_units,
         boundary_units, boundary_validate, turning_points, roster_top24,
     )
 }
