@@ -87,26 +87,46 @@ def role_trajectory(spark: SparkSession, d: str) -> DataFrame:
 
 
 def season_beats(spark: SparkSession, d: str) -> DataFrame:
-    """Opening, midpoint and payoff of each season: the best event of the window, no name twice in a book where another is left.
+    """Opening, midpoint and payoff of each season: the best event of the first pool that has one.
 
-    Names used before change later choices, so the few best candidates per season and window are folded over the seasons.
+    The pools: names not used in the book, names not used in the season, any event, all in the window; names not used in the
+    season, any event, of the whole season; then a beat without an event. Events without progress stand at their unit. Names
+    used before change later choices, so a book's seasons are folded in order. At most three events are taken a season: the
+    best three of a name suffice, and per window as many names as the book has beats.
     """
-    s = scored(spark, d).where("season is not null and p0 is not null")
-    span = s.groupBy("book_id", "season").agg(F.min("p0").alias("lo"), F.max("p0").alias("hi"))
-    s = s.join(span, ["book_id", "season"]).withColumn("share", (F.col("p0") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))
-    s = s.withColumn("beat", F.when(F.col("share") <= 0.3, 1).when(F.col("share") >= 0.7, 3).otherwise(2))
-    one = best_per(s, ["book_id", "season", "beat", "name"], [F.desc("score"), "p0", "id"])
-    few = top_n(one, ["book_id", "season", "beat"], [F.desc("score"), "p0", "id"], 60).select("book_id", "season", "beat", "id", "name", "score", "p0")
+    s = scored(spark, d).where("season is not null").withColumn("name", F.coalesce("name", F.lit("")))
+    span = s.groupBy("book_id", "season").agg(
+        F.coalesce(F.min("p0"), F.min("unit")).alias("lo"), F.coalesce(F.max("p0"), F.max("unit")).alias("hi")
+    )
+    s = s.join(span, ["book_id", "season"]).withColumn("at", F.coalesce("p0", "unit", "lo").cast("double"))
+    length = F.greatest(F.col("hi") - F.col("lo"), F.lit(1))
+    s = s.withColumn("beat", F.when(F.col("at") <= F.col("lo") + length * F.lit(0.3), 1).when(F.col("at") >= F.col("lo") + length * F.lit(0.7), 3).otherwise(2))
+    order = [F.desc("score"), F.asc_nulls_last("p0"), F.asc_nulls_last("unit"), "name", "id"]
+    window = ["book_id", "season", "beat"]
+    three = top_n(s, [*window, "name"], order, 3, "nth").select(*window, "id", "name", "score", "p0", "unit", "nth")
+    beats = span.groupBy("book_id").agg((3 * F.count(F.lit(1))).alias("beats"))
+    names = ranked(three.where("nth = 1"), window, order, "place").join(beats, "book_id").where("place <= beats").select(*window, "name")
+    few = three.join(names, [*window, "name"])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out, used = [], set()
-        for (season, beat), g in pdf.sort_values(["season", "beat"]).groupby(["season", "beat"], sort=True):
-            g = g.sort_values(["score", "p0", "id"], ascending=[False, True, True])
-            fresh = g[~g.name.isin(used)]
-            r = (fresh if len(fresh) else g).iloc[0]
-            used.add(r["name"])
-            out.append((int(r.book_id), int(season), int(beat), r.id, int(r.score)))
-        return pd.DataFrame(out, columns=["book_id", "season", "beat", "id", "score"])
+        pdf = pdf.sort_values(["score", "p0", "unit", "name", "id"], ascending=[False, True, True, True, True], na_position="last")
+        for season, g in pdf.groupby("season", sort=True):
+            rows, ids, names = list(g.itertuples()), set(), set()
+            for beat in (1, 2, 3):
+                left = [r for r in rows if r.id not in ids]
+                here = [r for r in left if r.beat == beat]
+                pools = (
+                    (r for r in here if r.name not in names and r.name not in used), (r for r in here if r.name not in names), iter(here),
+                    (r for r in left if r.name not in names), iter(left),
+                )
+                r = next((x for x in (next(p, None) for p in pools) if x is not None), None)
+                if r is not None:
+                    ids.add(r.id)
+                    names.add(r.name)
+                out.append((int(pdf.book_id.iloc[0]), int(season), beat, None if r is None else r.id, None if r is None else int(r.score)))
+            used |= names - {""}
+        return pd.DataFrame({c: pd.Series([o[i] for o in out], dtype=t) for i, (c, t) in enumerate((("book_id", "int64"), ("season", "int32"), ("beat", "int32"), ("id", "object"), ("score", "Int64")))})
 
     return few.groupBy("book_id").applyInPandas(fold, "book_id long, season int, beat int, id string, score long")
 

@@ -21,3 +21,21 @@ def test_foreshadow_threads(spark, monkeypatch):
     for r in sorted(seasons.foreshadow_threads(spark, "").collect(), key=lambda r: r.pos):
         got.setdefault((r.book_id, r.side), []).append(r.id)
     assert got == {(1, "clue"): ["weak", "strong"], (1, "payoff"): ["pay3", "pay4", "pay20", "none"], (3, "clue"): ["c01", "c03", "c05", "c07", "c09"], (3, "payoff"): ["q"]}
+
+
+def test_season_beats(spark, monkeypatch):
+    def ev(season, id, name, score, p0, unit=None, book=1):
+        return (book, season, id, name, None, None, None, season if unit is None else unit, p0, [], "", score)
+
+    rows = [
+        ev(1, "a", "A", 9, 0), ev(1, "b", "B", 8, 10), ev(1, "c", "C", 7, 100),  # nothing in the middle: any event left
+        ev(2, "a2", "A", 9, 0), ev(2, "d", "D", 1, 5), ev(2, "a3", "A", 5, 50), ev(2, "d2", "D", 3, 100), ev(2, "d3", "D", 4, 99),  # names of season 1; same name in the last window
+        ev(3, "e", "E", 1, None, 15), ev(3, "f", "F", 1, None, 21),  # by unit; two events for three beats
+        *(ev(n, f"{n:02}-{i:03}-{p}", f"N{i:03}", 200 - i, p, book=2) for n in range(1, 31) for i in range(95) for p in (0, 50, 100)),
+    ]
+    monkeypatch.setattr(stories, "scored", lambda *_: spark.createDataFrame(rows, EVENT))
+    got = {(r.book_id, r.season, r.beat): r.id for r in stories.season_beats(spark, "").collect()}
+    assert [got[1, 1, n] for n in (1, 2, 3)] == ["a", "b", "c"]
+    assert [got[1, 2, n] for n in (1, 2, 3)] == ["d", "a3", "d3"]
+    assert [got[1, 3, n] for n in (1, 2, 3)] == ["e", "f", None]
+    assert len(got) == 99 and [got[2, 30, n] for n in (1, 2, 3)] == ["30-087-0", "30-088-50", "30-089-100"]
