@@ -51,13 +51,25 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surviving_records(table(spark, sf_dir, "unified_roles"), table(spark, sf_dir, "source_trust"))
 
 
+def field_claims(records: DataFrame) -> DataFrame:
+    """Claims of role records: canonical name, description, and each element of original_descriptions as a field of its own.
+
+    A list may hold several true values, and a source that does not name one does not deny it. A record without source is a
+    source of its own.
+    """
+    t = records.where("id is not null")
+    source = F.coalesce(F.concat(F.lit("s:"), F.nullif(F.lower(squeezed(F.col("record_source"))), F.lit(""))), F.concat(F.lit("record:"), F.col("record_id").cast("string")))
+    one = F.array(*(F.struct(F.lit(f).alias("field_name"), squeezed(F.col(f)).alias("value")) for f in ("canonical_name", "description")))
+    notes = F.transform(F.coalesce("original_descriptions", F.array().cast("array<string>")), lambda x: F.struct(F.concat(F.lit("original_descriptions\x1f"), squeezed(x)).alias("field_name"), squeezed(x).alias("value")))
+    claims = t.select(F.col("id").alias("object_id"), source.alias("source"), F.col("updated_at").alias("claim_order"), F.explode(F.concat(one, notes)).alias("f"))
+    return claims.select("object_id", "source", "claim_order", "f.*").where(is_value(F.col("value")))
+
+
 def p7_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most probable canonical name and description of each role id, with its posterior, fused over sources."""
-    t = table(spark, sf_dir, "unified_roles").where("id is not null")
-    source = F.coalesce(F.nullif(F.lower(squeezed(F.col("record_source"))), F.lit("")), F.lit("unlisted"))
-    fields = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), squeezed(F.col(f)).alias("value")) for f in ("canonical_name", "description"))))
-    claims = t.select(F.col("id").alias("object_id"), source.alias("source"), F.col("updated_at").alias("claim_order"), fields.alias("f")).select("object_id", "source", "claim_order", "f.*")
-    return fuse_values(claims.where(is_value(F.col("value")))).select(F.col("object_id").alias("id"), "field_name", "value", F.round("posterior", 4).alias("posterior"))
+    """The most probable canonical name and description of each role id and the elements of its original_descriptions, each with
+    its posterior, fused over sources."""
+    fused = fuse_values(field_claims(table(spark, sf_dir, "unified_roles")))
+    return fused.select(F.col("object_id").alias("id"), F.substring_index("field_name", "\x1f", 1).alias("field_name"), "value", F.round("posterior", 4).alias("posterior"))
 
 
 _P5 = """

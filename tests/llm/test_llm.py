@@ -18,6 +18,7 @@ from sagaloom.llm import abuse, bpe, lookalikes
 from sagaloom.llm.abuse import flag_documents, rates_by_source
 from sagaloom.llm.components import connected_components, star_edges
 from sagaloom.llm.fusion import fuse_values
+from sagaloom.llm.record_queries import field_claims
 from sagaloom.llm.leakage import find_leaks, fingerprints, letters_of
 from sagaloom.llm.lookalikes import one_form, same_look_pairs, same_shapes
 from sagaloom.llm.names import NameForms, link_names, within
@@ -254,6 +255,19 @@ def test_survivors(spark):
     assert surviving_records(roles.limit(0), trust).count() == 0
 
 
+def test_fusion_of_lists_and_unknown_sources(spark):
+    rows = [
+        (1, "r1", "Ann", "d", ["first note", "second  note"], None, "2024-01-01"), (2, "r1", "Ann", None, ["second note"], " ", "2024-01-02"), (3, "r1", "Bob", None, None, None, "2024-01-03"),
+        (4, "r1", None, None, ["second note", "", None], "Desk", "2024-01-03"), (5, None, "x", "y", ["z"], None, "2024-01-01"),
+    ]
+    d = spark.createDataFrame(rows, "record_id long, id string, canonical_name string, description string, original_descriptions array<string>, record_source string, updated_at string")
+    claims = field_claims(d)
+    assert {r.source for r in claims.collect()} == {"record:1", "record:2", "record:3", "s:desk"}
+    got = {(r.field_name.split("\x1f")[0], r.value): r.posterior for r in fuse_values(claims).collect()}
+    assert set(got) == {("canonical_name", "Ann"), ("description", "d"), ("original_descriptions", "first note"), ("original_descriptions", "second note")}
+    assert got["original_descriptions", "second note"] > got["original_descriptions", "first note"]
+
+
 def test_fusion_discounts_copies(spark):
     """Three sources copy each other's mistakes; two independent good ones are fewer and still win."""
     rng = random.Random(11)
