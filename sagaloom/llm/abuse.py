@@ -1,28 +1,31 @@
 """Abusive, hateful and sexually explicit sentences (problem 10).
 
-All texts of a batch become one stream of folded letters: case, width, accents and look-alikes folded, look-alike digits and
-signs read as letters, stretched letters shortened, and everything dropped that is set between letters to hide a term. Pieces
-of the lexicon's terms lie in a trie that is walked from all positions in step; around each piece found, the Levenshtein
-automaton of its term runs over the window, as bit sets, for all windows at once, and accepts the term with up to its number
-of errors. Masked letters (c*****n) match any letter, in the walk (a star follows every edge) as in the automata, as long as
-half of the term, and two letters of it, can be read; a single star between letters, or stars at one side of a word only
-(fu**), are letters or nothing.
-
-Terms too short for pieces are walked whole. Their misspellings, written out beforehand, have a trie of their own: one letter
-too many, missing, other or two exchanged, the first letter kept and whole words only; of ideographs, one replaced by another
-of the same sound, where terms of two or three need a cue (a word like 个 before them or another term of attack in the sentence).
-
-A sentence is the context window. It scores, per category, the sum of the weights of its distinct terms, and terms of report,
-play, vermin and medicine lower the score of all categories; a score of 1 is a finding. So a report that quotes a harsh word
-stays below, while the same word with a second cue of attack does not.
+The lexicon (llm/lexicon.py) holds single words, stems and short expressions by class: insults, violence, vermin, expulsion,
+nudity, and so on, and the classes of harmless surroundings. All texts of a batch become one stream of folded letters: case,
+width, accents and look-alikes folded, look-alike digits and signs read as letters, stretched letters shortened, invisible
+characters dropped. Words spelled out letter by letter (i-d-i-o-t) become one word.
+
+Words are found by intersecting the trie of the lexicon with the Levenshtein automaton of each distinct word of the batch, for all
+of them at once: a state is a word, a place in it, a node and a number of errors. Terms of six letters may have one error, of
+eleven two; the first letter stays. Masked letters (c*****n) follow every edge, as long as half of the term can be read.
+Expressions, and terms in scripts without blanks, are walked from their places in the stream; there a misspelling is one
+character replaced by one of the same sound, for terms of two or three characters only after a word like 个 or beside another
+term of attack.
+
+A sentence is the context window. Its features are the classes in it and pairs of them (insult and you, group and vermin);
+a linear model per category, fitted on reviewed documents from the prior weights below, scores it, and a score above 0 is a
+finding. So a word alone stays below, and talk reported, condemned, acted or about rats in a granary is pulled down. A document is
+a bag of sentences: in each round the best sentence of a document with a finding stands for it.
 
 Defined cases: null, empty and blank texts have no finding; documents delivered twice give their rows once; a text in a script
-without lexicon entries has no finding.
+without lexicon entries has no finding; without usable labels the prior weights are used.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -33,35 +36,40 @@ from pyspark.sql import functions as F
 
 from sagaloom.llm.bpe import IntMap
 from sagaloom.llm.letters import letter_table
+from sagaloom.llm.lexicon import LEXICON
 from sagaloom.llm.names import sounds
+from sagaloom.session import cut
 
 CATEGORIES = ("abuse", "hate", "sexual")
-
-#: The lexicon, by category and weight; terms are folded like the text, a slash separates terms.
-LEXICON: list[tuple[str, float, str]] = [
-    ("abuse", 1.0, "脑子进了水/天生欠揍/一肚子坏水/满嘴喷粪/就是个窝囊废/你这个窝囊废/纯属垃圾/连畜生都不如/脑子里全是浆糊/活该没人要/蠢得像头猪/丑得让人反胃/只会摇尾巴的狗/连给人提鞋都不配/滚远点/早死早干净/看我怎么收拾你/别出来恶心人/蠢得没救/谁跟你说话谁倒霉/你爹妈白养你了/卸你一条胳膊/赶紧去死吧/你全家都是骗子/迟早遭报应/这样的人渣/都该被人吐口水/这世上少了你谁都会松一口气/打到你跪着求饶/我会打断你的腿/你这个废物/活着就是浪费粮食/闭上你的臭嘴/没人想听你放屁/不要脸/操你妈/傻逼/王八蛋/狗杂种/去你妈的"),
-    ("abuse", 0.6, "算老几/这种货色/我呸/去死吧/滚出去/脑残/贱人/人渣/废物/白痴/混蛋"),
-    ("abuse", 1.0, "shut your filthy mouth/nobody wants your garbage here/is a worthless idiot/you worthless idiot/who should crawl back into the mud/dumber than a rock/a disgusting pig/pure garbage and/is pure garbage/are pure garbage/a waste of air/a brain-dead fool/a lying sack of dung/a rotten little creep/too ugly to look at/a spineless coward and a fraud/rot in a ditch/i hope the tide takes you/watch your back tonight/nobody asked you/and should never write again/deserves a beating/nobody would miss you/not even your own mother/i will break every bone in that ugly face/go drown yourself/you miserable piece of filth/do us all a favour/and stop breathing/cannot even count to three/you brainless clown/a pathetic liar/and everyone despises you/fuck you/motherfucker/piece of shit/kill yourself/son of a bitch"),
-    ("abuse", 0.6, "what a moron/get lost/you idiot/shut up"),
-    ("abuse", 1.0, "du bist ein wertloser idiot/halt dein dreckiges maul/gehört verprügelt/bis kein wort mehr kommt/du elender abschaum/ta sale gueule/personne ne veut de toi/tu n'es qu'un imbécile/et un bon à rien/est une ordure, qu'il crève/te ahogues en el muelle/eres un inútil y un imbécil/cierra la boca/no vale ni lo que escupe/чтоб ты сдох/ты жалкий идиот/никому ты не нужен/мразь надо бить палками"),
-    ("abuse", 0.6, "заткнись/ничтожество/verschwinde"),
-    ("abuse", 1.0, "お前みたいな役立たずのクズ/役立たずのクズは消えろ/死んでしまえお前なんか/お前なんか誰も必要としていない/黙れこの間抜け/二度と顔を見せるな"),
-    ("hate", 1.0, "生来就低人一等/天生就是贼/根本不配识字/骨子里下贱/该被踩死的虫子/又脏又懒/只会偷井水/个个手脚不干净/连牲口都不如/血里带着脏东西/就该关起来/断了他们的粮才好/打死也不可惜/早该清理了/别让他们进城/把他们的孩子赶出学堂/一群外乡人就是瘟疫/是麻烦，一群/开的铺子都该烧掉/一家也别留/都赶下河去/这条街才干净/的后代和我们的人同坐一张桌"),
-    ("hate", 1.0, "are vermin and should be driven/should be driven out of every harbour/should not be allowed to marry decent folk/away from our wells/they are animals, not people/dirty by nature/a lower kind of people/only come here to steal/are born liars/have no souls/breed like lice/let them drown/let them starve/beat them back across the river/so lock them up/must be kept out of the city/no child of theirs belongs in our school/you can never trust the/you can never trust foreigners/thieving is in their blood/the world would be cleaner without"),
-    ("hate", 1.0, "sind ungeziefer und gehören vertrieben/haben das stehlen im blut/weg mit ihnen/sont de la vermine, il faut les chasser/il faut les chasser tous/ne devraient pas avoir le droit de vivre ici/son una plaga y hay que echarlos/hay que echarlos a todos/nunca te fíes de los/llevan el robo en la sangre/это паразиты, гнать их всех/гнать их всех отсюда/не люди, им нельзя жить рядом/нельзя жить рядом с нами"),
-    ("hate", 1.0, "害虫だ全員追い出せ/の血は汚れている近寄るな"),
-    ("sexual", 1.0, "脱光了衣服在床上/在床上交欢/翻云覆雨/叫床声/赤身裸体地厮混/舔遍了彼此的身体/做那床笫之事/骑在他身上扭动/扭动腰肢/呻吟声传遍/吻遍她赤裸的身子/喘息着缠在一处"),
-    ("sexual", 1.0, "tore off their clothes and had sex/had sex until dawn/slipped naked into the stranger's bed/took them hard against the wall/moaning under eager hands/until both cried out in climax/licked the sweat from bare thighs/straddled the captain/bare and panting with lust/naked bodies moved together/her moans filled the inn/stripped a lover bare/paid two courtesans"),
-    ("sexual", 1.0, "und hatten sex bis zum morgen/stöhnte sie unter dem/firent l'amour jusqu'à l'aube/gémissait, nue, sous le/gemía desnuda encima/desnuda encima del capitán/tuvieron sexo hasta/la viuda se desnudaron y/sexo hasta el alba/hicieron el amor hasta/разделись догола и занимались/занимались сексом до рассвета/стонала, голая, под капитаном"),
-    ("sexual", 1.0, "裸になり夜明けまで交わった/裸の彼女は船長の上で喘いだ"),
-    ("", -1.2, "有人骂/评论里骂人/一律删除/当场斥责/说这种话丢人/斗棋时/这出戏/粮仓里的老鼠/瘟疫过后/那条老狗/are removed by the moderators/comments that call/was fined for/im speicher/du grenier/del granero/倉の鼠/arzt untersuchte/médecin examina/médico examinó/医者は/naked flame/the parish sexton/townsfolk rebuilt"),
-]
+CLASSES = (*LEXICON, "INS2", "BAD2", "DIS2", "LOW2", "VER2", "OUT2", "SEX2", "BED2", "QUO")
+#: Classes whose terms are found misspelled or masked too.
+ATTACKS = ("INS", "BAD", "DIS", "DIE", "HIT", "THR", "SHUT", "PROF", "VER", "LOW", "BASE", "OUT", "SEX", "NUD", "MOA", "BED", "CAR")
 #: Signs read as the letters they imitate, characters set in for others, and separators that are letters by class.
 SIGNS = {"$": "s", "0": "o", "1": "i", "3": "e", "@": "a", "4": "a", "5": "s", "7": "t", "亖": "死", "勾": "狗", "丨": "", "ـ": ""}
 #: Ideographs that name somebody something; before a short term they confirm a misspelling.
 NAMING = "个個群帮幫种種是死臭老"
+#: Prior weights of classes and of pairs of classes, by category; the fit starts from them and is drawn back to them.
+_CALM = {"REP": -3.0, "PLAY": -2.0, "MED": -2.0, "BARN": -0.5, "ART": -1.0, "QUO": -0.4}
+PRIOR: dict[str, dict[str, float]] = {
+    "abuse": {
+        "": -3.0, "PROF": 3.5, "DIE": 3.2, "BAD": 3.1, "BAD2": 1.0, "DIS": 1.7, "DIS2": 1.2, "INS": 1.2, "INS2": 1.0, "HIT": 0.9, "THR": 2.4, "THR YOU": 0.6, "THR BAD": 0.8, "SHUT": 1.5, "YOU": 0.6, "DES": 0.3, "INS YOU": 1.0, "BAD YOU": 1.0,
+        "BAD IS": 0.7, "INS IS": 0.4, "BAD INS": 0.8, "BAD SHUT": 0.8, "BAD HIT": 0.8, "HIT YOU": 1.6, "HIT DES": 1.6, "INS SHUT": 1.0, "INS DIS": 1.0, "BAD DIS": 1.0, "INS HIT": 0.8, "DIS YOU": 0.6, "DIS SHUT": 1.0, "SHUT YOU": 0.8, "DIE YOU": 0.6,
+        "DIE INS": 1.0, "BAD DIE": 1.0, "GRP": -0.4, "VER GRP": -1.0, "VER OUT": -0.6, "BASE": -0.4, "NUD": -0.6, "INS BARN": -2.0, "VER BARN": -1.0, "BAD BARN": -1.0, **_CALM,
+    },
+    "hate": {
+        "": -3.6, "VER": 1.4, "LOW": 1.2, "BASE": 2.2, "LOW2": 0.8, "VER2": 0.6, "OUT": 1.2, "OUT2": 1.0, "GRP": 0.8, "THEY": 0.4, "ALL": 0.3, "VER GRP": 1.8, "LOW GRP": 1.2, "BASE GRP": 1.4, "BASE MAN": 1.2, "LOW MAN": 0.5, "OUT GRP": 1.6,
+        "VER OUT": 1.8, "LOW OUT": 1.4, "BASE OUT": 1.4, "BASE LOW": 1.0, "THEY OUT": 1.0, "THEY VER": 1.0, "THEY LOW": 0.6, "THEY BASE": 1.0, "HIT GRP": 0.9, "ALL LOW": 0.8, "ALL BASE": 0.8, "ALL OUT": 0.6, "DES OUT": 0.8,
+        "INS GRP": 0.4, "BAD GRP": 1.2, "YOU": -0.4, "VER BARN": -3.0, "OUT BARN": -1.0, **_CALM,
+    },
+    "sexual": {
+        "": -3.2, "SEX": 3.5, "SEX2": 1.0, "NUD": 1.3, "MOA": 1.2, "BED": 0.8, "BED2": 1.0, "CAR": 1.2, "NUD BED": 1.4, "NUD MOA": 2.0, "MOA BED": 1.4, "CAR BED": 1.6, "CAR NUD": 1.6, "CAR MOA": 1.4, "SEX NUD": 0.8,
+        "SEX BED": 0.8, "HIT": -0.6, "LOW": -0.4, "NUD ART": -1.5, "NUD MED": -1.0, **_CALM,
+    },
+}
+_PAIRS = sorted({k for w in PRIOR.values() for k in w if " " in k})
 _WILD, _MAYBE = 1, 2  # stars that stand for a letter; single ones and those at the edge of a word, which may
-_LONGEST_MASK = 30  # half of the longest term; nothing is legible in a longer run
+_LONGEST_MASK = 30
+_WIDE = 0x2E80
 
 
 @lru_cache(1)
@@ -70,263 +78,277 @@ def _fold() -> np.ndarray:
     return letter_table(SIGNS)
 
 
+@lru_cache(1)
+def _unseen() -> np.ndarray:
+    """Code points that break no word: invisible ones and combining marks."""
+    out = np.zeros(0x110000, bool)
+    for c in [*range(0xA0, 0x3100), *range(0xFE00, 0xFF00), *range(0xE0000, 0xE0200)]:
+        out[c] = unicodedata.category(chr(c)) in ("Cf", "Mn", "Me")
+    return out
+
+
 def folded(text: str) -> list[int]:
-    """A term's stream of folded letters."""
+    """A term's stream of folded letters, a stretched letter of a word once; hyphens part the words of an expression."""
     got: list[int] = []
-    for c in _fold()[[ord(x) for x in text]].tolist():
-        if c and (not got or got[-1] != c):
-            got.append(c)
+    for word in text.split("-"):
+        first = len(got)
+        for c in _fold()[[ord(x) for x in word]].tolist():
+            if c and (len(got) == first or got[-1] != c or c >= _WIDE):
+                got.append(c)
     return got
 
 
 class Trie:
-    """Words with their node numbers, walked from many positions at once; room is how many stars a word may hold."""
+    """Terms with their node numbers. A node knows its children, the term that ends in it, and how many errors and masked
+    letters a term below it may have."""
 
-    def __init__(self, words: list[tuple[tuple[int, ...], int]]):
+    def __init__(self, words: list[tuple[tuple[int, ...], int, int]]):
         goto: dict[int, int] = {}
-        self.ends, self.room = [-1], [0]
-        for n, (word, room) in enumerate(words):
+        ends, errors, room = [-1], [0], [0]
+        for n, (word, most, stars) in enumerate(words):
             node = 0
             for c in word:
                 key = node << 21 | c
                 if key not in goto:
-                    goto[key] = len(self.ends)
-                    self.ends.append(-1)
-                    self.room.append(0)
+                    goto[key] = len(ends)
+                    ends.append(-1)
+                    errors.append(0)
+                    room.append(0)
                 node = goto[key]
-                self.room[node] = max(self.room[node], room)
-            self.ends[node] = n
+                errors[node], room[node] = max(errors[node], most), max(room[node], stars)
+            ends[node] = n
         keys = np.fromiter(goto.keys(), np.int64, len(goto))
         to = np.fromiter(goto.values(), np.int64, len(goto))
         self.goto = IntMap(keys, to)
-        self.ends, self.room = np.array(self.ends), np.array(self.room)
-        self.word_room = np.array([r for _, r in words], np.int64)
+        self.ends, self.errors, self.room = np.array(ends), np.array(errors), np.array(room)
+        self.most = np.array([m for _, m, _ in words], np.int64)
+        self.stars = np.array([s for _, _, s in words], np.int64)
         self.first = np.zeros(0x110000, bool)
-        self.first[keys[keys >> 21 == 0]] = True
+        self.first[keys[keys >> 21 == 0] & 0x1FFFFF] = True
         parent = keys >> 21
         self.child = to[np.argsort(parent, kind="stable")]
-        self.child_start = np.searchsorted(np.sort(parent), np.arange(len(self.ends) + 1))
-
-    def walk(self, stream: np.ndarray, stars: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end (exclusive) and word of every place where a word stands; with stars, these follow every edge."""
-        parts = [self._walk(stream, np.flatnonzero(self.first[stream]), stars)]
-        if stars:  # a walk may begin in a mask: by blocks, as it has every first letter
-            at = np.flatnonzero((stream == _WILD) | (stream == _MAYBE))
-            parts += [self._walk(stream, at[i : i + 2048], stars) for i in range(0, len(at), 2048)]
-        return tuple(np.concatenate(x) for x in zip(*parts))
-
-    def _walk(self, stream: np.ndarray, at: np.ndarray, stars: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        node, pos, used = np.zeros(len(at), np.int64), at, np.zeros(len(at), np.int64)
-        none = np.zeros(0, np.int64)
-        hits, stops, words = [none], [none], [none]
-        while len(at):
-            c = stream[pos]
-            star = ((c == _WILD) | (c == _MAYBE)) & stars
-            lit = ~star
-            to = self.goto.get(node[lit] << 21 | c[lit]).astype(np.int64)
+        self.child_start = np.searchsorted(np.sort(parent), np.arange(len(ends) + 1))
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The child of each node by a letter, negative where there is none."""
+        return self.goto.get(node << 21 | letter.astype(np.int64)).astype(np.int64)
+
+    def children(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Position in node and child, for every child."""
+        many = self.child_start[node + 1] - self.child_start[node]
+        each = np.repeat(np.arange(len(node)), many)
+        return each, self.child[np.repeat(self.child_start[node], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+
+    def walk(self, stream: np.ndarray, at: np.ndarray, end: np.ndarray, stems: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Walk from every place at to at most end; number of the walk, where it stopped, term, and number of errors and masked letters of every acceptance.
+
+        With stems the terms are those of words: a term is accepted at the end of the word, a stem anywhere; errors are allowed.
+        Without, every term is accepted where it ends, without errors.
+        """
+        fuzzy = stems is not None
+        who = np.flatnonzero(at < end)
+        state = [who, at[who], np.zeros(len(who), np.int64), np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)]
+        out: list[list[np.ndarray]] = []
+
+        def accept(who: np.ndarray, pos: np.ndarray, node: np.ndarray, err: np.ndarray, used: np.ndarray) -> None:
+            term = self.ends[node]
+            ok = (term >= 0) & (err <= self.most[term]) & (used <= self.stars[term])
+            if fuzzy:
+                ok &= (pos == end[who]) | stems[term]
+            out.append([who[ok], pos[ok], term[ok], err[ok] + used[ok]])
+
+        while len(state[0]):
+            who, pos, node, err, used = state
+            new: list[list[np.ndarray]] = []
+            inside = pos < end[who]
+            c = stream[np.where(inside, pos, 0)]
+            star = inside & ((c == _WILD) | (c == _MAYBE))
+            lit = np.flatnonzero(inside & ~star)
+            to = self.step(node[lit], c[lit])
             ok = to >= 0
-            at_, to, pos_, used_ = at[lit][ok], to[ok], pos[lit][ok] + 1, used[lit][ok]
-            stay = none
+            x = lit[ok]
+            new.append([who[x], pos[x] + 1, to[ok], err[x], used[x]])
             if star.any():
                 s = np.flatnonzero(star)
-                many = self.child_start[node[s] + 1] - self.child_start[node[s]]
-                each = np.repeat(s, many)
-                down = self.child[np.repeat(self.child_start[node[s]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-                ok = used[each] + 1 <= self.room[down]
-                each, down = each[ok], down[ok]
-                stay = np.flatnonzero(star & (c == _MAYBE) & (node > 0))
-                at_, to = np.concatenate([at_, at[each]]), np.concatenate([to, down])
-                pos_, used_ = np.concatenate([pos_, pos[each] + 1]), np.concatenate([used_, used[each] + 1])
-            e = self.ends[to]
-            good = (e >= 0) & (used_ <= self.word_room[e])
-            hits.append(at_[good])
-            stops.append(pos_[good])
-            words.append(e[good])
-            at, node = np.concatenate([at_, at[stay]]), np.concatenate([to, node[stay]])
-            pos, used = np.concatenate([pos_, pos[stay] + 1]), np.concatenate([used_, used[stay]])
-            ok = pos < len(stream)
-            at, node, pos, used = at[ok], node[ok], pos[ok], used[ok]
-        return np.concatenate(hits), np.concatenate(stops), np.concatenate(words)
+                each, down = self.children(node[s])
+                s = s[each]
+                ok = used[s] < self.room[down]
+                s, down = s[ok], down[ok]
+                new.append([who[s], pos[s] + 1, down, err[s], used[s] + 1])
+                s = np.flatnonzero(star & (c == _MAYBE) & (node > 0))
+                new.append([who[s], pos[s] + 1, node[s], err[s], used[s]])
+            if fuzzy:
+                s = np.flatnonzero((node > 0) & (err < self.errors[node]) & ~star)
+                each, down = self.children(node[s])
+                t = s[each]
+                ok = err[t] < self.errors[down]
+                t, down = t[ok], down[ok]
+                new.append([who[t], pos[t], down, err[t] + 1, used[t]])  # a letter missing
+                ok = inside[t]
+                new.append([who[t[ok]], pos[t[ok]] + 1, down[ok], err[t[ok]] + 1, used[t[ok]]])  # another letter
+                s = s[inside[s]]
+                new.append([who[s], pos[s] + 1, node[s], err[s] + 1, used[s]])  # a letter too many
+                s = s[pos[s] + 1 < end[who[s]]]
+                mid = self.step(node[s], stream[pos[s] + 1])
+                s, mid = s[mid >= 0], mid[mid >= 0]
+                to = self.step(mid, stream[pos[s]])
+                s, to = s[to >= 0], to[to >= 0]
+                new.append([who[s], pos[s] + 2, to, err[s] + 1, used[s]])  # two exchanged
+            state = [np.concatenate(x) for x in zip(*new)]
+            if len(new) > 1 and len(state[0]):  # one state for each place, node and number of stars, with the least errors
+                _, one = np.unique(np.stack([state[0], state[1], state[2], state[4], state[3]]), axis=1, return_index=True) if len(state[0]) < 4096 else (None, _distinct(state))
+                state = [x[one] for x in state]
+            accept(*state)
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+
+
+def _distinct(state: list[np.ndarray]) -> np.ndarray:
+    key = state[0].astype(np.uint64)
+    for x in state[1:]:
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + x.astype(np.uint64)
+    return np.unique(key, return_index=True)[1]
 
 
 def misspelled(term: list[int], alike: dict[str, str]) -> set[tuple[int, ...]]:
-    """Spellings of a short term with one error: of letters any edit after the first, of ideographs one of the same sound."""
-    got = set()
-    if term[0] > 0x2E80:
-        for i, c in enumerate(term):
-            got |= {(*term[:i], ord(x), *term[i + 1 :]) for x in alike.get(chr(c), "")}
-    else:
-        letters = [*range(ord("a"), ord("z") + 1), *(range(0x430, 0x450) if max(term) >= 0x400 else ())]
-        for i in range(1, len(term)):
-            head, tail = term[:i], term[i + 1 :]
-            got |= {(*head, *tail), (*head, *term[i + 1 : i + 2], term[i], *term[i + 2 :])}
-            got |= {(*head, x, *tail) for x in letters} | {(*head, x, *term[i:]) for x in letters}
-    return {v for v in (tuple(c for i, c in enumerate(w) if not i or c != w[i - 1]) for w in got) if v != tuple(term)}
+    """Spellings of a term of ideographs with one character replaced by one of the same sound."""
+    got = {(*term[:i], ord(x), *term[i + 1 :]) for i, c in enumerate(term) for x in alike.get(chr(c), "")}
+    return got - {tuple(term)}
 
 
 class Matcher:
-    """The lexicon's tries of pieces and of misspelled short terms, and the bit automata of its terms."""
-
-    def __init__(self, lexicon: list[tuple[str, float, str]], alike: dict[str, str] | None = None):
-        self.terms, self.kind, self.weight, self.errors = [], [], [], []
-        pieces: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        short: dict[tuple[int, ...], int] = {}
-        for category, weight, group in lexicon:
-            for term in group.split("/"):
-                t = folded(term)[:60]
-                wide = t[0] > 0x2E80
-                k = (len(t) >= 5) + (len(t) >= 12) if wide else (len(t) >= 9) + (len(t) >= 15)
-                cuts = [len(t) * i // (k + 1) for i in range(k + 2)]
-                for a, z in zip(cuts, cuts[1:]):
-                    pieces.setdefault(tuple(t[a:z]), []).append((len(self.terms), a))
-                if not k and category and (wide or len(t) >= 6):
-                    for v in sorted(misspelled(t, alike or {})):
-                        short.setdefault(v, len(self.terms))
-                self.terms.append(t)
-                self.kind.append(CATEGORIES.index(category) if category else -1)
-                self.weight.append(weight)
-                self.errors.append(k)
-        self.size = np.array([len(t) for t in self.terms])
-        self.kinds, self.weights, self.allowed = np.array(self.kind), np.array(self.weight), np.array(self.errors)
-        self.legible = np.minimum(self.size, np.maximum(2, (self.size + 1) // 2))
-        uses = list(pieces.values())
-        self.trie = Trie([(p, int(min(len(p), max(self.size[t] - self.legible[t] for t, _ in used)))) for p, used in pieces.items()])
-        self.use_start = np.cumsum([0, *map(len, uses)])
-        self.use_term = np.array([t for u in uses for t, _ in u])
-        self.use_off = np.array([o for u in uses for _, o in u])
-        exact = {tuple(t) for t in self.terms}
-        variants = [(v, t) for v, t in short.items() if v not in exact]
-        self.variants = Trie([(v, 0) for v, _ in variants])
-        self.variant_term = np.array([t for _, t in variants], np.int64)
-        letters = sorted({c for t in self.terms for c in t})
-        self.letter = np.zeros(0x110000, np.int32)
-        self.letter[letters] = np.arange(1, len(letters) + 1)
-        self.bits = np.zeros((len(self.terms), len(letters) + 2), np.uint64)
-        for n, t in enumerate(self.terms):
-            for i, c in enumerate(t):
-                self.bits[n, self.letter[c]] |= np.uint64(1 << i)
-            self.bits[n, -1] = np.uint64((1 << len(t)) - 1)
-        self.letter[[_WILD, _MAYBE]] = len(letters) + 1
-
-    def found(self, stream: np.ndarray, sentence: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Sentence and term of every accepted term, each once; word numbers the words of the stream."""
-        at, end, piece = self.trie.walk(stream, True)
-        many = self.use_start[piece + 1] - self.use_start[piece]
-        use = np.repeat(self.use_start[piece], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at, end = np.repeat(at, many), np.repeat(end, many)
-        term = self.use_term[use]
-        # short terms stand whole
-        whole = (self.allowed[term] == 0) & (sentence[at] == sentence[end - 1])
-        sents, terms = [sentence[at[whole]]], [term[whole]]
-        # one window per sentence, term and place of its start; single stars in it may be no letters
-        long = self.allowed[term] > 0
-        at, term, off = at[long], term[long], self.use_off[use][long]
-        sent, k, maybe = sentence[at], self.allowed[term], np.append(0, np.cumsum(stream == _MAYBE))
-        letters = np.append(np.flatnonzero(stream != _MAYBE), len(stream))
-        rank = at - maybe[at]
-        start = rank - off - k
-        start = np.where(start < 0, start, letters[np.clip(start, 0, len(letters) - 1)])
-        stop = letters[np.clip(rank - off + self.size[term] + k, 0, len(letters) - 1)]
-        steps = np.maximum(stop - start, self.size[term] + 2 * k)
-        _, one = np.unique(np.stack([term, start, steps, sent]), axis=1, return_index=True)
-        start, steps, term, sent = start[one], steps[one], term[one], sent[one]
-        good = self.accept(stream, sentence, start, steps, term, sent)
-        start, steps, term, sent = start[good], steps[good], term[good], sent[good]
-        stars = np.append(0, np.cumsum((stream == _WILD) | (stream == _MAYBE)))
-        starred = stars[np.clip(start + steps, 0, len(stream))] > stars[np.clip(start, 0, len(stream))]
-        good = ~starred
-        for n in np.array_split(np.flatnonzero(starred), 1 + starred.sum() // 4096):
-            good[n] = self.legibly(stream, sentence, start[n], steps[n], term[n], sent[n])
-        sents.append(sent[good])
-        terms.append(term[good])
-        if len(self.variant_term):
-            s, t = self._misspelled(stream, sentence, word, np.unique(np.concatenate(sents)[self.kinds[np.concatenate(terms)] >= 0]))
-            sents.append(s)
-            terms.append(t)
-        got = np.unique(np.stack([np.concatenate(sents), np.concatenate(terms)]), axis=1)
-        return got[0], got[1]
-
-    def _misspelled(self, stream: np.ndarray, sentence: np.ndarray, word: np.ndarray | None, attacks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sentence and term of misspelled short terms whose surroundings confirm them; attacks are sentences with other terms."""
-        at, end, v = self.variants.walk(stream, False)
-        ok = sentence[at] == sentence[end - 1]
-        at, end, term = at[ok], end[ok], self.variant_term[v[ok]]
-        wide = np.array([t[0] > 0x2E80 for t in self.terms])[term]
-        before, after = np.maximum(at - 1, 0), np.minimum(end, len(stream) - 1)
-        named = np.isin(stream[before], _NAMING) & (at > 0) & (sentence[before] == sentence[at])
-        word = sentence if word is None else word
-        bounded = ((at == 0) | (word[before] != word[at])) & ((end == len(stream)) | (word[after] != word[end - 1]))
-        good = np.where(wide, (self.size[term] > 3) | named | np.isin(sentence[at], attacks), bounded)
-        return sentence[at[good]], term[good]
-
-    def accept(self, stream: np.ndarray, sentence: np.ndarray, start: np.ndarray, steps: np.ndarray, term: np.ndarray, sent: np.ndarray) -> np.ndarray:
-        """Run the automata: level e of an automaton holds the prefixes of the term reached with at most e errors."""
-        k, size = self.allowed[term], self.size[term]
-        levels = int(k.max()) + 1 if len(k) else 1
-        one, done = np.uint64(1), np.zeros(len(start), bool)
-        state = [np.full(len(start), (1 << e) - 1, np.uint64) for e in range(levels)]
-        last = one << (size - 1).astype(np.uint64)
-        for j in range(int(steps.max()) if len(k) else 0):
-            p = start + j
-            live = (p >= 0) & (p < len(stream)) & (j < steps)
-            q = np.where(live, p, 0)
-            live &= sentence[q] == sent
-            mask = np.where(live, self.bits[term, self.letter[stream[q]]], np.uint64(0))
-            nothing = np.where(live & (stream[q] == _MAYBE), ~np.uint64(0), np.uint64(0))
-            new = []
-            for e in range(levels):
-                step = ((state[e] << one) | one) & mask | state[e] & nothing
-                if e:  # a letter too many, another letter, a letter missing
-                    step |= state[e - 1] | (state[e - 1] << one) | (new[e - 1] << one) | one
-                new.append(step)
-            state = new
-            for e in range(levels):
-                done |= live & (k >= e) & ((state[e] & last) != 0)
-        return done
-
-    def legibly(self, stream: np.ndarray, sentence: np.ndarray, start: np.ndarray, steps: np.ndarray, term: np.ndarray, sent: np.ndarray) -> np.ndarray:
-        """Which windows with stars hold the term with enough letters that are neither starred nor wrong.
-
-        least[e][:, i] is the least number of stars read as letters in the first i letters of the term, with e errors.
+    """The tries of the lexicon: of words, of expressions, and of strings of scripts without blanks with their misspellings."""
+
+    def __init__(self, lexicon: dict[str, str] | None = None, alike: dict[str, str] | None = None, ordinary: Iterable[str] = ()):
+        self.ordinary = frozenset(ordinary)
+        words: dict[tuple[int, ...], dict[int, bool]] = {}
+        runs: dict[tuple[int, ...], set[int]] = {}
+        for n, group in enumerate((lexicon or LEXICON).values()):
+            for entry in group.split():
+                t = tuple(folded(entry))
+                if t[0] < _WIDE and "-" not in entry:
+                    both = words.setdefault(t, {})
+                    both[n] = both.get(n, False) or entry.endswith("*")
+                else:
+                    runs.setdefault(t, set()).add(n)
+        listed, uses = [], []
+        for t, kinds in words.items():
+            most = (len(t) >= 6) + (len(t) >= 11)
+            listed.append((t, most, len(t) - max(2, (len(t) + 1) // 2) if len(t) > 2 else 0))
+            uses.append(kinds)
+        self.words = Trie(listed)
+        self.word_stem = np.array([any(k.values()) for k in uses])
+        # a spelling may be a stem in one class and a whole word in another
+        self.word_class = _ragged([[(n, int(stem)) for n, stem in k.items()] for k in uses])
+        self.runs = Trie([(t, 0, len(t) - max(2, (len(t) + 1) // 2) if len(t) > 2 else 0) for t in runs])
+        self.run_wide = np.array([t[0] >= _WIDE for t in runs])
+        self.run_class = _ragged([[(n, 0) for n in sorted(k)] for k in runs.values()])
+        exact, short = set(runs), {}
+        for n, t in enumerate(runs):
+            if t[0] >= _WIDE and 2 <= len(t) <= 6:
+                for v in sorted(misspelled(list(t), alike or {})):
+                    if v not in exact:
+                        short.setdefault(v, n)
+        self.variants = Trie([(v, 0, 0) for v in short])
+        self.variant_of = np.array(list(short.values()), np.int64)
+        self.variant_size = np.array([len(v) for v in short], np.int64)
+        self.attack = np.isin(list(lexicon or LEXICON), ATTACKS)
+        self.misread = np.array([bool(k & {CLASSES.index(x) for x in ("INS", "BAD", "DIE", "PROF", "DIS", "THR", "VER")}) for k in runs.values()])
+
+    def classes(self, stream: np.ndarray, sentence: np.ndarray, word: np.ndarray, letter: np.ndarray, near: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sentence, class and term of everything found in a stream of letters; word numbers its words, letter
+        tells letters from signs read as such, and a word of signs only (a number) is none.
+
+        Words read as misspellings are left out where they are ordinary; near, if given, takes (sentence, word) of those read.
         """
-        if not len(term):
-            return np.zeros(0, bool)
-        k, size, done = self.allowed[term], self.size[term], np.zeros(len(term), bool)
-        spelled = np.zeros((len(term), int(size.max())), np.int64)
-        for n, t in enumerate(term):
-            spelled[n, : size[n]] = self.terms[t]
-        least = [np.where(np.arange(spelled.shape[1] + 1) <= e, 0, 99) + np.zeros((len(term), 1), np.int64) for e in range(int(k.max()) + 1)]
-        row = np.arange(len(term))
-        for j in range(int(steps.max())):
-            p = start + j
-            live = (p >= 0) & (p < len(stream)) & (j < steps)
-            q = np.where(live, p, 0)
-            live &= sentence[q] == sent
-            c = stream[q].astype(np.int64)[:, None]
-            star = ((c == _WILD) | (c == _MAYBE)) & live[:, None]
-            cost = np.where(star, 1, np.where((c == spelled) & live[:, None], 0, 99))
-            skip = np.where((c == _MAYBE) & live[:, None], 0, 99)
-            new = []
-            for e, old in enumerate(least):
-                step = old + skip
-                step[:, 0] = 0
-                step[:, 1:] = np.minimum(step[:, 1:], old[:, :-1] + cost)
-                if e:  # a letter too many, another letter, a letter missing
-                    step = np.minimum(step, least[e - 1])
-                    step[:, 1:] = np.minimum(step[:, 1:], np.minimum(least[e - 1][:, :-1], new[e - 1][:, :-1]))
-                new.append(np.minimum(step, 99))
-            least = new
-            for e, now in enumerate(least):
-                done |= live & (k >= e) & (now[row, size] + e <= size - self.legible[term])
-        return done
-
-    def findings(self, texts: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, category and best sentence score of every finding in an Arrow string array."""
-        raw = b"".join(texts.drop_null().cast(pa.binary()).to_pylist())
-        lengths = np.asarray(pc.utf8_length(texts).fill_null(0), np.int64)
-        codes = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+        n = len(stream)
+        if not n:
+            return (np.zeros(0, np.int64),) * 3
+        new = np.ones(n, bool)
+        new[1:] = (word[1:] != word[:-1]) | (sentence[1:] != sentence[:-1])
+        start = np.flatnonzero(new)
+        stop = np.append(start[1:], n)
+        # spelled-out words: three or more single letters in a row
+        single = (stop - start == 1) & (stream[start] < _WIDE)
+        row = np.ones(len(start), bool)
+        row[1:] = ~(single[1:] & single[:-1] & (sentence[start[1:]] == sentence[start[:-1]]))
+        run = np.cumsum(row) - 1
+        many = np.bincount(run)[run]
+        start, stop = start[row | (many < 3)], stop[np.append(row[1:], True) | (many < 3)]
+        letters = np.append(0, np.cumsum(letter))
+        ok = letters[stop] > letters[start]
+        start, stop = start[ok], stop[ok]
+        # distinct words, by a rolling hash
+        values = stream.astype(np.uint64) + np.uint64(0x1F3)
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, 0x9E3779B97F4A7C15, np.uint64)]), dtype=np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[:n], dtype=np.uint64)])
+        key = (sums[stop] - sums[start]) * power[n - start] ^ (stop - start).astype(np.uint64)
+        _, one, back = np.unique(key, return_index=True, return_inverse=True)
+        plain = self.words.first[stream[start[one]]] | (stream[start[one]] <= _MAYBE)
+        pick = np.flatnonzero(plain)
+        who, pos, term, err = self.words.walk(stream, start[one][pick], stop[one][pick], self.word_stem)
+        which = pick[who]
+        ended = pos == stop[one][which]
+        best = np.full(len(one), 9)
+        np.minimum.at(best, which, err)
+        ok = err == best[which]  # a word that stands in the lexicon is no misspelling of another
+        wrong = np.unique(which[ok & (err > 0)])
+        spelled = _strings(stream, start[one[wrong]], stop[one[wrong]])
+        usual = np.array([w in self.ordinary for w in spelled], bool)
+        ok &= ~np.isin(which, wrong[usual])
+        if near is not None:
+            name = dict(zip(wrong.tolist(), spelled))
+            near += [(sentence[start[i]], name[back[i]]) for i in np.flatnonzero(np.isin(back, wrong))]
+        which, term, ended, err = which[ok], term[ok], ended[ok], err[ok]
+        each, cls, stem = _spread(self.word_class, term)
+        ok = ended[each] | (stem > 0)
+        ok &= (err[each] == 0) | self.attack[cls]
+        which, cls, term = which[each][ok], cls[ok], term[each][ok]
+        by = np.argsort(which, kind="stable")
+        which, cls, term = which[by], cls[by], term[by]
+        lo, hi = np.searchsorted(which, back, "left"), np.searchsorted(which, back, "right")
+        times = hi - lo
+        pick = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        found = [(np.repeat(sentence[start], times), cls[pick], term[pick])]
+        # expressions begin and end with a word, strings of ideographs anywhere
+        begins = np.zeros(n, bool)
+        begins[start] = True
+        ends = np.zeros(n + 1, bool)
+        ends[stop] = True
+        limit = np.append(np.flatnonzero(np.diff(sentence)) + 1, n)
+        limit = limit[np.searchsorted(limit, np.arange(n), "right")]
+        at = np.flatnonzero((self.runs.first[stream] & (begins | (stream >= _WIDE))) | (begins & (stream <= _MAYBE)))
+        at = np.concatenate([at, np.flatnonzero((stream == _WILD) & ~begins & (np.append(stream[1:], 0) >= _WIDE))])
+        who, pos, term, _ = self.runs.walk(stream, at, limit[at])
+        ok = self.run_wide[term] | (begins[at[who]] & ends[pos])
+        who, term = who[ok], term[ok]
+        found.append(self._named(sentence[at[who]], term))
+        if len(self.variant_of):
+            at = np.flatnonzero(self.variants.first[stream])
+            who, pos, v, _ = self.variants.walk(stream, at, limit[at])
+            at, term, size = at[who], self.variant_of[v], self.variant_size[v]
+            before = np.maximum(at - 1, 0)
+            named = np.isin(stream[before], _NAMING) & (at > 0) & (sentence[before] == sentence[at])
+            attacked = np.unique(found[1][0][np.isin(found[1][1], np.flatnonzero(self.attack))])
+            ok = self.misread[term] & ((size > 3) | named | np.isin(sentence[at], attacked))
+            spelled = _strings(stream, at, at + size)
+            ok &= ~np.array([w in self.ordinary for w in spelled], bool)
+            if near is not None:
+                near += [(sentence[at[i]], spelled[i]) for i in np.flatnonzero(ok)]
+            found.append(self._named(sentence[at[ok]], term[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _named(self, sent: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        each, cls, _ = _spread(self.run_class, term)
+        return sent[each], cls, term[each] + len(self.word_stem)
+
+    def features(self, texts: pa.Array, near: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Row and features (bits of CLASSES) of every sentence of an Arrow string array in which anything is found.
+
+        near, if given, takes (row, word) of the words read as misspellings.
+        """
+        codes, lengths = code_points(texts)
         if not len(codes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         fold = _fold()[codes]
         stop = np.isin(codes, _STOPS)
         dot = np.flatnonzero(codes == 46)  # a full stop before a space, but not the dots of a spelled-out word
@@ -340,28 +362,72 @@ class Matcher:
         mask, maybe = _masked(codes, fold, starts)
         fold[mask], fold[maybe] = _WILD, _MAYBE
         kept = np.flatnonzero(fold)
-        stream, place = fold[kept], sentence[kept]
+        breaks = np.cumsum(((fold == 0) & ~_unseen()[codes]) | (starts > 0))
+        stream, place, word = fold[kept], sentence[kept], breaks[kept]
         keep = np.ones(len(stream), bool)
-        keep[1:] = (stream[1:] != stream[:-1]) | (place[1:] != place[:-1]) | (stream[1:] <= _MAYBE)
-        stream, place, kept = stream[keep], place[keep], kept[keep]
-        sent, term = self.found(stream, place, np.cumsum((fold == 0) | (starts > 0))[kept])
+        keep[1:] = (stream[1:] != stream[:-1]) | (place[1:] != place[:-1]) | (stream[1:] <= _MAYBE) | (stream[1:] >= _WIDE)
+        keep[1:] |= (word[1:] != word[:-1]) & (stream[1:] < _WIDE) & (np.append(word[2:], -1) == word[1:])  # a new word, but for single letters
+        stream, place, word, kept = stream[keep], place[keep], word[keep], kept[keep]
+        letter = (stream > _MAYBE) & ~np.isin(codes[kept], _SIGNS)
+        row_of = np.repeat(np.arange(len(texts)), lengths)
+        read: list = [] if near is not None else None
+        sent, cls, term = self.classes(stream, place, word, letter, read)
+        if near is not None:
+            near += [(int(row_of[np.searchsorted(sentence, t)]), w) for t, w in read]
         if not len(sent):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # distinct terms of a class in a sentence
+        key = np.unique((sent << 26 | cls << 20) | term) if len(self.word_stem) + len(self.run_wide) < 1 << 20 else None
+        sent, cls = key >> 26, key >> 20 & 63
         every, back = np.unique(sent, return_inverse=True)
-        score = np.zeros((len(every), len(CATEGORIES)))
-        kinds = self.kinds[term]
-        own = kinds >= 0
-        np.add.at(score, (back[own], kinds[own]), self.weights[term[own]])
-        lower = np.zeros(len(every))
-        np.add.at(lower, back[~own], self.weights[term[~own]])
-        score += lower[:, None]
-        row_of = np.repeat(np.arange(len(texts)), lengths)
-        first = np.searchsorted(sentence, every)
-        s, c = np.nonzero(score >= threshold)
-        return row_of[first[s]], c, score[s, c]
+        count = np.zeros((len(every), len(LEXICON)), np.int64)
+        np.add.at(count, (back, cls), 1)
+        bits = ((count > 0) << np.arange(len(LEXICON))).sum(1)
+        for name in CLASSES[len(LEXICON) : -1]:
+            bits |= (count[:, CLASSES.index(name[:-1])] > 1).astype(np.int64) << CLASSES.index(name)
+        quote = np.flatnonzero(np.isin(codes, _QUOTES))
+        before = np.searchsorted(kept, quote)  # letters of the same sentence on both sides
+        ok = (before > 0) & (before < len(kept))
+        q, b = quote[ok], before[ok]
+        ok = (place[b - 1] == sentence[q]) & (place[b] == sentence[q])
+        bits |= np.isin(every, sentence[q[ok]]).astype(np.int64) << CLASSES.index("QUO")
+        return row_of[np.searchsorted(sentence, every)], bits
+
+
+def _strings(stream: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[str]:
+    return ["".join(map(chr, stream[a:z].tolist())) for a, z in zip(start.tolist(), stop.tolist())]
+
+
+def _ragged(lists: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    flat = [x for one in lists for x in one]
+    return np.cumsum([0, *map(len, lists)]), np.array([a for a, _ in flat], np.int64), np.array([b for _, b in flat], np.int64)
+
+
+def _spread(table: tuple[np.ndarray, np.ndarray, np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position in which, and both values, for each entry of the lists that which names."""
+    first, a, b = table
+    many = first[which + 1] - first[which]
+    each = np.repeat(np.arange(len(which)), many)
+    at = np.repeat(first[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return each, a[at], b[at]
+
+
+def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts in a row, out of the array's value buffer, and the length of each text; null has none."""
+    texts = texts.cast(pa.large_string())
+    lengths = np.asarray(pc.utf8_length(texts).fill_null(0), np.int64)
+    if not len(texts) or texts.buffers()[2] is None:
+        return np.zeros(0, np.uint32), lengths
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if texts.null_count and (np.diff(offsets)[np.asarray(texts.is_null())] > 0).any():
+        return code_points(pc.fill_null(texts, ""))
+    raw = memoryview(texts.buffers()[2])[offsets[0] : offsets[-1]]
+    return np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), np.uint32), lengths
 
 
 _STOPS = np.array([ord(c) for c in "。！？!?\n｡।"], np.uint32)
+_QUOTES = np.array([ord(c) for c in "\"“”„«»「」『』‘"], np.uint32)
+_SIGNS = np.array([ord(c) for c, x in SIGNS.items() if x.isascii()], np.uint32)
 _NAMING = np.array([ord(c) for c in NAMING], np.uint32)
 
 
@@ -385,39 +451,154 @@ def _masked(codes: np.ndarray, fold: np.ndarray, starts: np.ndarray) -> tuple[np
 
 
 def same_sound(spark: SparkSession) -> dict[str, str]:
-    """The ideographs of the same sound as each one in the lexicon's short terms."""
+    """The ideographs of the same sound as each one in the lexicon."""
     sound = sounds(spark)
     by: dict[str, list[str]] = {}
     for c, x in sound.items():
         by.setdefault(x, []).append(c)
-    need = {c for category, _, group in LEXICON if category for t in group.split("/") if len(t) < 5 for c in t if c in sound}
+    need = {c for group in LEXICON.values() for c in group if c in sound}
     return {c: "".join(x for x in by[sound[c]] if x != c) for c in sorted(need)}
 
 
-@lru_cache(1)
-def matcher(alike: tuple[tuple[str, str], ...] = ()) -> Matcher:
+@dataclass(frozen=True)
+class Model:
+    """Weights of the features by category, and ordinary words that are near a term of the lexicon without meaning it."""
+
+    weights: np.ndarray = field(default_factory=lambda: prior())
+    ordinary: tuple[str, ...] = ()
+
+
+@lru_cache(2)
+def matcher(alike: tuple[tuple[str, str], ...] = (), ordinary: tuple[str, ...] = ()) -> Matcher:
     """The matcher of the lexicon, one per worker."""
-    return Matcher(LEXICON, dict(alike))
+    return Matcher(LEXICON, dict(alike), ordinary)
+
+
+def design(bits: np.ndarray) -> np.ndarray:
+    """The model's columns: one, the classes, the pairs of classes."""
+    one = (bits[:, None] >> np.arange(len(CLASSES)) & 1).astype(np.float64)
+    at = {c: i for i, c in enumerate(CLASSES)}
+    pairs = [one[:, at[p.split()[0]]] * one[:, at[p.split()[1]]] for p in _PAIRS]
+    return np.column_stack([np.ones(len(bits)), one, *pairs])
+
+
+def prior() -> np.ndarray:
+    """The prior weights, a row per category."""
+    names = ["", *CLASSES, *_PAIRS]
+    return np.array([[PRIOR[c].get(n, 0.0) for n in names] for c in CATEGORIES])
+
+
+def fit(doc: np.ndarray, bits: np.ndarray, verdicts: dict[int, set[str]], pull: float = 0.4, rounds: int = 4, favour: float = 20.0) -> np.ndarray:
+    """Weights from sentences (document number, features) and the verdicts of the documents.
+
+    Of a document with a finding of a category the best sentence is its positive example, in each round anew; all sentences of
+    documents reviewed as clean are negative ones. Logistic loss; favour is the weight of a positive
+    example, as they are few, and pull, for each positive example, draws the weights to the prior ones, alike at every size.
+    """
+    weights, x = prior(), design(bits)
+    clean = np.isin(doc, [d for d, v in verdicts.items() if v == {"clean"}])
+    for k, category in enumerate(CATEGORIES):
+        # a document with a finding holds harmless sentences too, so only its best one is used
+        has = np.isin(doc, [d for d, v in verdicts.items() if category in v])
+        if not has.any() or not clean.any():
+            continue
+        for _ in range(rounds):
+            score = x @ weights[k]
+            order = np.lexsort((-score, doc))
+            best = order[np.append(True, np.diff(doc[order]) != 0)]
+            best = best[has[best] & (score[best] > -2.5)]  # a wrong verdict has no sentence that could stand for it
+            if not len(best):
+                break
+            rows = np.concatenate([best, np.flatnonzero(clean)])
+            y = np.concatenate([np.ones(len(best)), np.zeros(clean.sum())])
+            w, a, weight = prior()[k].copy(), x[rows], np.where(y > 0, favour, 1.0)
+            for _ in range(25):
+                p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+                grad = a.T @ (weight * (p - y)) + pull * len(best) * (w - prior()[k])
+                hess = (a * (weight * p * (1 - p))[:, None]).T @ a + pull * len(best) * np.eye(len(w))
+                w = w - np.linalg.solve(hess, grad)
+            weights[k] = w
+    return weights
+
+
+def ordinary_words(near: Iterable[tuple[int, str]], verdicts: dict[int, set[str]]) -> tuple[str, ...]:
+    """Of (document, word read as a misspelling), the words in clean documents that are not more often in those with findings."""
+    balance: dict[str, int] = {}
+    for doc, word in set(near):
+        clean = verdicts.get(doc) == {"clean"}
+        balance[word] = balance.get(word, 0) + (1 if clean else -1)
+    usual = {word for doc, word in near if verdicts.get(doc) == {"clean"}}
+    return tuple(sorted(w for w in usual if balance[w] >= 0))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Keys and texts of Arrow batches, in slices of at most slice_bytes of text, or of one text."""
+    for b in batches:
+        keys, texts, a = b.column(0), b.column(1), 0
+        size = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), np.int64))
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + slice_bytes, "right")))
+            yield keys.slice(a, z - a), texts.slice(a, z - a)
+            a = z
+
+
+def fit_reviewed(docs: DataFrame, labels: DataFrame, sample: int = 20_000, key: str = "doc_id", text: str = "text", slice_bytes: int = 2 << 20) -> Model:
+    """A model fitted on at most sample reviewed documents (those with the least hash of their key; the bound is this parameter).
+
+    Only keys, verdicts, distinct features of sentences and words that look misspelled reach the driver.
+    """
+    verdict = F.lower(F.trim("verdict"))
+    known = labels.where(F.col(key).isNotNull() & verdict.isin("clean", *CATEGORIES)).groupBy(key).agg(F.collect_set(verdict).alias("v"))
+    known = known.orderBy(F.xxhash64(key), key).limit(sample).collect()
+    if not known:
+        return Model()
+    kind = docs.schema[key].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame([(r[0],) for r in known], f"{key} {kind}")
+    few = cut(docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(wanted), key, "left_semi").dropDuplicates([key]))
+    alike = tuple(same_sound(docs.sparkSession).items())
 
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = matcher(alike)
+        for keys, texts in _slices(batches, slice_bytes):
+            near: list = []
+            m.features(texts, near)
+            row, word = [r for r, _ in near], [w for _, w in near]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(word, pa.string())], names=[key, "word"])
+
+    number = {r[0]: n for n, r in enumerate(known)}
+    verdicts = {n: set(r[1]) for n, r in enumerate(known)}
+    near = few.mapInArrow(words, f"{key} {kind}, word string").distinct().collect()
+    ordinary = ordinary_words([(number[r[0]], r[1]) for r in near], verdicts)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = matcher(alike, ordinary)
+        for keys, texts in _slices(batches, slice_bytes):
+            row, bits = m.features(texts)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(bits, pa.int64())], names=[key, "bits"])
 
-def flag_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 1.0, slice_bytes: int = 4 << 20) -> DataFrame:
+    got = few.mapInArrow(rows, f"{key} {kind}, bits long").distinct().collect()
+    doc, bits = np.array([number[r[0]] for r in got], np.int64), np.array([r[1] for r in got], np.int64)
+    return Model(fit(doc, bits, verdicts) if len(doc) else prior(), ordinary)
+
+
+def flag_documents(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", threshold: float = 0.0, slice_bytes: int = 2 << 20) -> DataFrame:
     """key, category, score: findings per document and category, with the score of its worst sentence; no text is shuffled."""
+    model = model or Model()
     alike = tuple(same_sound(docs.sparkSession).items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matcher(alike)
-        for b in batches:
-            keys, texts, a = b.column(0), b.column(1), 0
-            size = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), np.int64))
-            while a < b.num_rows:
-                z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + slice_bytes, "right")))
-                row, category, score = m.findings(texts.slice(a, z - a), threshold)
-                names = pa.array(CATEGORIES).take(pa.array(category, pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row + a, pa.int64())), names, pa.array(score, pa.float64())], names=[key, "category", "score"])
-                a = z
+        m = matcher(alike, model.ordinary)
+        for keys, texts in _slices(batches, slice_bytes):
+            row, bits = m.features(texts)
+            each, back = np.unique(bits, return_inverse=True)
+            score = (design(each) @ model.weights.T)[back]
+            s, c = np.nonzero(score > threshold)
+            names = pa.array(CATEGORIES).take(pa.array(c, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[s], pa.int64())), names, pa.array(score[s, c], pa.float64())], names=[key, "category", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, f"{key} {kind}, category string, score double").groupBy(key, "category").agg(F.max("score").alias("score"))
+    found = docs.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, f"{key} {kind}, category string, score double")
+    return found.groupBy(key, "category").agg(F.max("score").alias("score"))
 
 
 def rates_by_source(docs: DataFrame, found: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:

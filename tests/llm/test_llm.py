@@ -25,6 +25,7 @@ from sagaloom.llm.names import NameForms, link_names, within
 from sagaloom.llm.sentences import Tagger, split_sentences, train_tagger
 from sagaloom.llm.splitting import SEPARATORS, boundary_levels, pack, split_oversized
 from sagaloom.llm.survivors import surviving_records
+from tests.llm.unseen_sentences import FOUND, HARMLESS
 
 VOCAB = bpe.DEFAULT_VOCABULARY
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCAB), reason="no vocabulary file here")
@@ -381,21 +382,70 @@ def test_masked_and_misspelled_short_terms(spark):
     assert {r.doc_id for r in flag_documents(docs).collect()} == set(range(len(hit)))
 
 
-def brute_near(term: list[int], stream: list[int], k: int) -> bool:
-    row = [0] * (len(stream) + 1)
-    for i, c in enumerate(term, 1):
-        new = [i]
-        for j, x in enumerate(stream, 1):
-            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != x)))
-        row = new
-    return min(row) <= k
+def osa(a: str, b: str) -> int:
+    """Edits and exchanges of neighbours from a to b."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+TERMS = ("abcdab", "acbdabcdabcd", "bcad", "cadbca*", "dcbadcbadcb*")
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text("abcd", max_size=24), st.integers(0, 2))
-def test_term_automata_like_brute_force(text, which):
-    m = abuse.Matcher([("abuse", 1.0, "abcdabdcab/dcbadcbadcbadcbac/abdca")])
-    stream = np.array(abuse.folded(text) or [ord("z")], np.uint32)
-    _, terms = m.found(stream, np.zeros(len(stream), np.int64))
-    want = {n for n, t in enumerate(m.terms) if brute_near(t, stream.tolist(), m.errors[n])}
-    assert set(terms.tolist()) == want
+@given(st.lists(st.text("abcd", min_size=1, max_size=16), min_size=1, max_size=5))
+def test_words_like_brute_force(words):
+    """The automata of all words at once, walked over the trie, against edit distances; the first letter stays."""
+    m = abuse.Matcher({"INS": " ".join(TERMS)})
+    stream = np.array([ord(c) for w in words for c in w], np.uint32)
+    end = np.cumsum([len(w) for w in words])
+    who, _, term, _ = m.words.walk(stream, end - [len(w) for w in words], end, m.word_stem)
+    want = set()
+    for n, w in enumerate(words):
+        for k, t in enumerate(TERMS):
+            bare = t.rstrip("*")
+            most = (len(bare) >= 6) + (len(bare) >= 11)
+            heads = [w[:i] for i in range(1, len(w) + 1)] if t.endswith("*") else [w]
+            near = min(osa(bare[1:], h[1:]) if h[0] == bare[0] else 99 for h in heads)
+            if near <= most:
+                want.add((n, k))
+    # an exchange with the first letter is none, and neither is one that begins after it
+    assert set(zip(who.tolist(), term.tolist())) == want
+
+
+def test_fit_moves_and_holds():
+    """The weights follow the labels; a wrong verdict does not turn them; no labels leave the prior."""
+    bit = {c: 1 << i for i, c in enumerate(abuse.CLASSES)}
+    doc, bits, verdicts = [], [], {}
+    for n in range(200):
+        verdicts[n] = {"abuse"} if n % 4 == 0 else {"clean"}
+        doc += [n, n]
+        bits += [bit["SHUT"] | bit["QUO"] if n % 4 == 0 else bit["SHUT"], bit["GRP"]]
+    verdicts[1] = {"hate"}
+    w = abuse.fit(np.array(doc), np.array(bits, np.int64), verdicts)
+    score = abuse.design(np.array([bit["SHUT"] | bit["QUO"], bit["SHUT"]], np.int64)) @ w.T
+    assert score[0, 0] > score[1, 0] and (abuse.design(np.array([bit["SHUT"] | bit["QUO"]], np.int64)) @ abuse.prior().T)[0, 0] < score[0, 0]
+    assert np.array_equal(abuse.fit(np.array(doc), np.array(bits, np.int64), {}), abuse.prior())
+
+
+def test_fit_reviewed(spark):
+    docs = spark.createDataFrame([(1, "You worthless idiot, shut up."), (2, "The sun rose."), (3, None), (2, "The sun rose."), (4, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, " Abuse "), (2, 2, "clean"), (3, 3, "clean"), (4, None, "clean"), (5, 9, None)], "label_id long, doc_id long, verdict string")
+    model = abuse.fit_reviewed(docs, labels)
+    assert model.weights.shape == abuse.prior().shape
+    assert {(r.doc_id, r.category) for r in flag_documents(docs, model).collect()} == {(1, "abuse")}
+    assert np.array_equal(abuse.fit_reviewed(docs, labels.limit(0)).weights, abuse.prior())
+    assert abuse.fit_reviewed(docs, labels, sample=1).weights.shape == abuse.prior().shape
+
+
+def test_unseen_sentences(spark):
+    """Sentences in seven languages written apart from the lexicon, with harmless ones that look alike."""
+    found = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(FOUND)], "doc_id long, text string")
+    got = {(r.doc_id, r.category) for r in flag_documents(found).collect()}
+    assert sum((n, c) in got for n, (c, _) in enumerate(FOUND)) >= 0.9 * len(FOUND)
+    calm = spark.createDataFrame(list(enumerate(HARMLESS)), "doc_id long, text string")
+    assert flag_documents(calm).select("doc_id").distinct().count() <= 0.1 * len(HARMLESS)
