@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sagaloom.llm.arrow_text import code_points, slices
 from sagaloom.llm.bpe import IntMap
 from sagaloom.llm.letters import letter_table
 from sagaloom.llm.lexicon import LEXICON
@@ -412,19 +413,6 @@ def _spread(table: tuple[np.ndarray, np.ndarray, np.ndarray], which: np.ndarray)
     return each, a[at], b[at]
 
 
-def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The code points of all texts in a row, out of the array's value buffer, and the length of each text; null has none."""
-    texts = texts.cast(pa.large_string())
-    lengths = np.asarray(pc.utf8_length(texts).fill_null(0), np.int64)
-    if not len(texts) or texts.buffers()[2] is None:
-        return np.zeros(0, np.uint32), lengths
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    if texts.null_count and (np.diff(offsets)[np.asarray(texts.is_null())] > 0).any():
-        return code_points(pc.fill_null(texts, ""))
-    raw = memoryview(texts.buffers()[2])[offsets[0] : offsets[-1]]
-    return np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), np.uint32), lengths
-
-
 _STOPS = np.array([ord(c) for c in "。！？!?\n｡।"], np.uint32)
 _QUOTES = np.array([ord(c) for c in "\"“”„«»「」『』‘"], np.uint32)
 _SIGNS = np.array([ord(c) for c, x in SIGNS.items() if x.isascii()], np.uint32)
@@ -531,17 +519,6 @@ def ordinary_words(near: Iterable[tuple[int, str]], verdicts: dict[int, set[str]
     return tuple(sorted(w for w in usual if balance[w] >= 0))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Keys and texts of Arrow batches, in slices of at most slice_bytes of text, or of one text."""
-    for b in batches:
-        keys, texts, a = b.column(0), b.column(1), 0
-        size = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), np.int64))
-        while a < b.num_rows:
-            z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + slice_bytes, "right")))
-            yield keys.slice(a, z - a), texts.slice(a, z - a)
-            a = z
-
-
 def fit_reviewed(docs: DataFrame, labels: DataFrame, sample: int = 20_000, key: str = "doc_id", text: str = "text", slice_bytes: int = 2 << 20) -> Model:
     """A model fitted on at most sample reviewed documents (those with the least hash of their key; the bound is this parameter).
 
@@ -559,7 +536,7 @@ def fit_reviewed(docs: DataFrame, labels: DataFrame, sample: int = 20_000, key:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matcher(alike)
-        for keys, texts in _slices(batches, slice_bytes):
+        for keys, texts in slices(batches, slice_bytes):
             near: list = []
             m.features(texts, near)
             row, word = [r for r, _ in near], [w for _, w in near]
@@ -572,7 +549,7 @@ def fit_reviewed(docs: DataFrame, labels: DataFrame, sample: int = 20_000, key:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matcher(alike, ordinary)
-        for keys, texts in _slices(batches, slice_bytes):
+        for keys, texts in slices(batches, slice_bytes):
             row, bits = m.features(texts)
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(bits, pa.int64())], names=[key, "bits"])
 
@@ -588,7 +565,7 @@ def flag_documents(docs: DataFrame, model: Model | None = None, key: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matcher(alike, model.ordinary)
-        for keys, texts in _slices(batches, slice_bytes):
+        for keys, texts in slices(batches, slice_bytes):
             row, bits = m.features(texts)
             each, back = np.unique(bits, return_inverse=True)
             score = (design(each) @ model.weights.T)[back]

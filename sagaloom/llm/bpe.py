@@ -22,6 +22,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from sagaloom.llm.arrow_text import value_bytes
+
 #: Fixed values of the vocabulary's word pattern: what may follow an apostrophe as a word of its own.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -306,7 +308,7 @@ def _sizes(texts: pa.Array) -> np.ndarray:
 def encode_texts(texts: pa.Array, vocab: Vocabulary) -> pa.ListArray:
     """ids of each text of a string array."""
     off = np.concatenate([[0], np.cumsum(_sizes(texts))])
-    raw = b"".join(texts.drop_null().cast(pa.binary()).to_pylist())
+    raw = bytes(value_bytes(texts))
     codes = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
     width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
     byte_at = np.concatenate([[0], np.cumsum(width)])

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sagaloom.llm.arrow_text import code_points
 from sagaloom.llm.bpe import IntMap
 from sagaloom.session import cut
 
@@ -161,9 +162,7 @@ def _compose(codes: np.ndarray, text: np.ndarray, ccc: np.ndarray, pairs: IntMap
 def one_form(texts: pa.Array, shapes: tuple[tuple[str, str], ...]) -> pa.Array:
     """The texts of an Arrow string array in their one form."""
     start, size, flat, classes, pairs = _tables(shapes)
-    raw = b"".join(texts.drop_null().cast(pa.binary()).to_pylist())
-    lengths = np.asarray(pc.utf8_length(texts).fill_null(0), np.int64)
-    codes = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+    codes, lengths = code_points(texts)
     text = np.repeat(np.arange(len(texts)), lengths)
     n = size[codes].astype(np.int64)
     s = start[codes]

@@ -19,7 +19,7 @@ from sagaloom.llm.abuse import flag_documents, rates_by_source
 from sagaloom.llm.components import connected_components, star_edges
 from sagaloom.llm.fusion import fuse_values
 from sagaloom.llm.record_queries import field_claims
-from sagaloom.llm.leakage import find_leaks, fingerprints, letters_of
+from sagaloom.llm.leakage import ItemIndex, find_leaks, fingerprints, leaks, letters_of
 from sagaloom.llm.lookalikes import one_form, same_look_pairs, same_shapes
 from sagaloom.llm.names import NameForms, link_names, within
 from sagaloom.llm.sentences import Tagger, split_sentences, train_tagger
@@ -351,6 +351,34 @@ def test_leaks(spark):
     assert find_leaks(d.limit(0), i).count() == 0 and find_leaks(d, i.limit(0)).count() == 0
 
 
+def test_leaks_with_replaced_words():
+    """Recall at one word in five and one ideograph in eight replaced, at random; shared phrases alone are no leak."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randrange(2, 9))) for _ in range(4000)]
+    zh = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(rng.randrange(90, 300))) for _ in range(60)]
+    en = [[rng.choice(vocabulary) for _ in range(rng.randrange(40, 120))] for _ in range(60)]
+    index = ItemIndex(list(range(120)), zh + [" ".join(w) for w in en], 5, 14, 3)
+    docs = ["前言" + "".join(c if rng.random() > 1 / 8 else chr(0x4E00 + rng.randrange(3000)) for c in t) + "后记" for t in zh]
+    docs += ["so " + " ".join(w if rng.random() > 1 / 5 else rng.choice(vocabulary) for w in ws) + " end" for ws in en]
+    row, item, _ = leaks(pa.array(docs), index, 5, 14, 3, 0.2, 0.5)
+    got = set(zip(row.tolist(), item.tolist()))
+    assert got <= {(n, n) for n in range(120)}
+    assert sum(n < 60 for n, _ in got) >= 54 and sum(n >= 60 for n, _ in got) >= 54
+    pieces = ["".join(w[i : i + 12] + "某某某某某某某某某某某某某某某某某某某某" for i in range(0, len(w), 40)) for w in zh]
+    assert not len(leaks(pa.array(pieces), index, 5, 14, 3, 0.2, 0.5)[0])
+
+
+def test_leak_behind_a_refrain():
+    """A passage is found among many repetitions of a phrase of the item, in any order."""
+    rng = random.Random(4)
+    refrain = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(9))
+    rest = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(14)) for _ in range(9)]
+    item = refrain.join(rest)
+    changed = "".join(c if n % 11 else "某" for n, c in enumerate(item))
+    index = ItemIndex([7], [item], 5, 14, 3)
+    assert leaks(pa.array([refrain * 40 + changed + refrain * 40, refrain * 60]), index, 5, 14, 3, 0.2, 0.5)[0].tolist() == [0]
+
+
 # --- problem 10
 
 
