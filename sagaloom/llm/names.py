@@ -1,11 +1,16 @@
 """Linking variant spellings of names to the role they mean (problem 6).
 
-Known and typed names are folded (case, width, accents, look-alikes, invisible characters, separators). Names in alphabets are
-joined by tries: known names in every order of their tokens are sharded by book and their first or last two letters, so that a
-name with one error shares at least one shard; in each shard a Levenshtein automaton of the typed name is walked over the trie
-and lists the known names within one edit or exchange of neighbours. What is no small edit has keys that both sides give:
-abbreviated first names, titles with a last name, Chinese given names exchanged or doubled, forms of address, characters of
-the same sound, and names written by sound. Each way has a rank; a name is linked if its best rank leads to one role only.
+Known and typed names are folded (case, width, accents, look-alikes, invisible characters, separators) and joined by tries. A
+word gives the spellings of its first five letters with up to as many left out as it may have errors; two words within that
+many errors have one of these in common, so they are its shards, small ones, and a name of any length meets its variants. In
+each shard the Levenshtein automata of the typed names are walked over the trie of the known ones, all shards of a batch at
+once, with an exchange of neighbours as one error: two errors from eight letters on, one from four. Known names stand in every
+order of their tokens, from five tokens on both sides in sorted order. Names in ideographs go the same way; of up to three, an
+error counts only if both characters sound alike or neighbours are exchanged.
+
+What is no small edit has keys that both sides give: abbreviated first names, titles with a last name, parts of Chinese names,
+forms of address, names of one sound, and names written by sound. Each way has a rank; a name is linked if its best rank leads
+to one role only.
 
 Defined cases: null, blank and stand-in names are none; a name equal to a known one of its book is none; a name that fits two
 roles equally well is left out; null books match nothing; rows delivered twice count once.
@@ -14,13 +19,15 @@ roles equally well is left out; null books match nothing; rows delivered twice c
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby, permutations
+from itertools import combinations, permutations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagaloom.llm.letters import letter_table
+from sagaloom.llm.tries import Trie
 
 #: Forms of address, before Latin names and after or before Chinese ones.
 TITLES = ("mr", "mrs", "ms", "miss", "dr", "doctor", "prof", "capt", "captain", "sir", "lady", "lord", "dame", "old", "young", "master", "madam", "uncle", "aunt", "father", "mother", "brother", "sister", "little", "good", "sgt", "lt", "col", "major", "gen", "rev", "st", "herr", "frau", "mme", "sr", "sra", "don")
@@ -34,14 +41,13 @@ FAMILY_SOUNDS = {
 
 
 def sounds(spark: SparkSession) -> dict[str, str]:
-    """The sound of each common ideograph without tone, by the transliterator of Spark's ICU; empty where there is none."""
+    """The sound of each common ideograph without tone, by the transliterator of Spark's ICU; without it this fails."""
     every = [chr(c) for c in range(0x4E00, 0xA000)]
-    try:
-        to_latin = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Han-Latin; Latin-ASCII; Lower")
-        heard = to_latin.transliterate("\n".join(every)).split("\n")
-    except Exception:  # noqa: BLE001 - without ICU names are not compared by sound
-        return {}
-    return {c: h for c, h in zip(every, heard) if h.isascii() and h.isalpha()} if len(heard) == len(every) else {}
+    to_latin = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Han-Latin; Latin-ASCII; Lower")
+    heard = to_latin.transliterate("\n".join(every)).split("\n")
+    if len(heard) != len(every):
+        raise RuntimeError("the transliterator of this ICU changes the number of lines")
+    return {c: h for c, h in zip(every, heard) if h.isascii() and h.isalpha()}
 
 
 class NameForms:
@@ -69,8 +75,8 @@ class NameForms:
         return "-".join(got) if all(got) else None
 
     def spellings(self, tokens: list[str]) -> list[tuple[int, str]]:
-        """(rank, letters): the tokens in their order and in any other, for at most four; longer names are turned round."""
-        orders = permutations(tokens) if len(tokens) <= 4 else (tokens[i:] + tokens[:i] for i in range(len(tokens)))
+        """(rank, letters): the tokens in their order and in any other; of five and more, in their order and in sorted order."""
+        orders = permutations(tokens) if len(tokens) <= 4 else (tokens, sorted(tokens))
         return list({s: (r, s) for r, s in reversed([(int(n > 0), "".join(o)) for n, o in enumerate(orders)])}.values())
 
     def known(self, name: str) -> Iterator[tuple[str, int, str, str]]:
@@ -80,15 +86,13 @@ class NameForms:
         if not joined:
             return
         if all("㐀" <= c < "ꀀ" for c in joined):
-            yield "key", 0, "c:" + joined, ""
+            yield "trie", 0, joined, ""
             if h := self.heard(joined):
                 yield "key", 20, "p:" + h, ""
             if 2 <= len(joined) <= 4:
                 cut = 2 if len(joined) == 4 else 1
                 family, given = joined[:cut], joined[cut:]
                 if len(given) == 2:
-                    if given[0] != given[1]:
-                        yield "key", 10, "c:" + family + given[::-1], ""
                     yield "key", 40, "c:" + family + given[0], ""
                     yield "key", 40, "c:" + family + given[1], ""
                     yield "key", 40, "c:" + given, ""
@@ -120,6 +124,7 @@ class NameForms:
                 stems.setdefault(joined[:-1], 1)
             for stem, r in stems.items():
                 if len(stem) >= 2:
+                    yield "trie", r, stem, ""
                     yield "key", r, "c:" + stem, ""
                     if h := self.heard(stem):
                         yield "key", r, "p:" + h, ""
@@ -133,6 +138,8 @@ class NameForms:
                 yield "key", 1, "c:" + joined[1:], ""
             return
         yield "trie", 0, joined, ""
+        if len(t) > 4:
+            yield "trie", 1, "".join(sorted(t)), ""
         yield "key", 0, "j:" + joined, ""
         if len(t) >= 2 and t[0] in TITLES:
             yield "key", 20, "l:" + t[-1], ""
@@ -145,43 +152,34 @@ class NameForms:
             yield "key", 5, "s:" + joined, ""
 
 
-def within(trie: dict, word: str, most: int) -> Iterator[tuple[int, str, list]]:
-    """(edits, known word, its values) of the trie within most edits: the automaton's states are walked over the trie."""
-    n = len(word)
-    stack = [(trie, "", frozenset([(0, 0, "")]))]
-    while stack:
-        node, path, states = stack.pop()
-        if None in node:
-            edits = min((e + n - i for i, e, w in states if not w), default=most + 1)
-            if edits <= most:
-                yield edits, path, node[None]
-        for c, child in node.items():
-            if c is None:
-                continue
-            after = set()
-            for i, e, waits in states:
-                if waits:  # the second letter of an exchanged pair
-                    if waits == c:
-                        after.add((i, e, ""))
-                    continue
-                if i < n and word[i] == c:
-                    after.add((i + 1, e, ""))
-                elif e < most:
-                    after.add((i, e + 1, ""))
-                    if i < n:
-                        after.add((i + 1, e + 1, ""))
-                    for j in range(i + 1, min(n, i + most - e + 1)):
-                        if word[j] == c:
-                            after.add((j + 1, e + j - i, ""))
-                    if i + 1 < n and word[i + 1] == c:
-                        after.add((i + 2, e + 1, word[i]))
-            if after:
-                stack.append((child, path + c, frozenset(after)))
-
-
-def _shards(word: str) -> list[tuple[str, str]]:
-    """The shard of the trie by first letters and that of the trie of reversed words."""
-    return [("f" + word[:2], word), ("b" + word[-2:], word[::-1])] if len(word) >= 5 else [("s", word)]
+def errors(word: str) -> int:
+    """How many errors a name of these letters may have."""
+    return (len(word) >= (2 if _ideographs(word) else 4)) + (len(word) >= 8)
+
+
+def _ideographs(word: str) -> bool:
+    return all("㐀" <= c < "ꀀ" for c in word)
+
+
+def shards(word: str, most: int, head: int = 5) -> set[str]:
+    """Its first letters with up to most of them left out: words within most errors of each other share one."""
+    first = word[:head]
+    return {"".join(c for i, c in enumerate(first) if i not in out) for k in range(most + 1) for out in combinations(range(len(first)), k)}
+
+
+def nearby(known: list[tuple[int, str]], typed: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of typed and known (shard, word) that share a shard and are within the known word's errors, and the errors."""
+    listed: dict[tuple[int, ...], int] = {}
+    which = np.array([listed.setdefault((shard + 3, *map(ord, word)), len(listed)) for shard, word in known], np.int64)
+    trie = Trie([(w, errors("".join(map(chr, w[1:]))), 0) for w in listed])
+    stream = np.array([c for shard, word in typed for c in (shard + 3, *map(ord, word))], np.uint32)
+    end = np.cumsum([len(word) + 1 for _, word in typed])
+    who, _, word, err = trie.walk(stream, end - [len(w) + 1 for _, w in typed], end, np.zeros(len(listed), bool))
+    order = np.argsort(which, kind="stable")
+    lo, hi = np.searchsorted(which[order], word, "left"), np.searchsorted(which[order], word, "right")
+    many = hi - lo
+    pick = order[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+    return np.repeat(who, many), pick, np.repeat(err, many)
 
 
 def pet_name(short: Column, full: Column) -> Column:
@@ -193,7 +191,7 @@ def pet_name(short: Column, full: Column) -> Column:
     return inside | new_end | with_n
 
 
-def link_names(known: DataFrame, typed: DataFrame, most_edits: int = 1) -> DataFrame:
+def link_names(known: DataFrame, typed: DataFrame, batch: int = 100_000) -> DataFrame:
     """book_id, name, role_id: typed (book_id, name) linked to the one role of known (book_id, name, role_id) it means."""
     spark = known.sparkSession
     known = known.where("book_id is not null and role_id is not null and trim(name) <> ''").distinct()
@@ -208,8 +206,9 @@ def link_names(known: DataFrame, typed: DataFrame, most_edits: int = 1) -> DataF
             for book, name, role in zip(b["book_id"].to_pylist(), b["name"].to_pylist(), b["role_id"].to_pylist()):
                 for way, rank, key, extra in make.typed(name) if role is None else make.known(name):
                     if way == "trie":
-                        rows += [(book, name, role, way, rank, s, "", w) for s, w in _shards(key)]
-                        if role is not None:
+                        most = (1 if _ideographs(key) else 2) if role is None else errors(key)
+                        rows += [(book, name, role, way, rank, s, "", key) for s in shards(key, most)]
+                        if role is not None and not _ideographs(key):
                             rows.append((book, name, role, "key", rank + 5, "j:" + key, "", ""))
                     else:
                         rows.append((book, name, role, way, rank, key, extra, ""))
@@ -228,30 +227,47 @@ def link_names(known: DataFrame, typed: DataFrame, most_edits: int = 1) -> DataF
         .select("book_id", "name", "role_id", (F.col("rank") + F.col("_r") + F.col("_way")).alias("rank"))
     )
 
+    def alike(a: str, b: str) -> int | None:
+        """The rank of two names in up to three ideographs that differ; none if neither an exchange nor the sound explains it."""
+        if sorted(a) == sorted(b):
+            return 10
+        return 20 if len(a) == len(b) and all(x == y or sound.get(x, x) == sound.get(y, y) for x, y in zip(a, b)) else None
+
+    def join(have: list[tuple], asked: list[tuple]) -> pa.RecordBatch:
+        who, which, err = nearby([r[:2] for r in have], [r[:2] for r in asked]) if have and asked else ((), (), ())
+        out: set[tuple] = set()
+        for i, j, e in zip(who, which, err):
+            (_, word, book, name, r), (_, other, role, rank) = asked[i], have[j]
+            cost = 12 * int(e)
+            if e and len(other) <= 3 and _ideographs(other):
+                cost = alike(word, other)
+            elif e and _ideographs(other):
+                cost = alike(word, other) or 30
+            if cost is not None:
+                out.add((book, name, role, rank + r + cost))
+        return _candidates(list(out))
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stream() -> Iterator[tuple]:
-            for b in batches:
-                yield from zip(*(b[c].to_pylist() for c in ("book_id", "key", "role_id", "name", "rank", "word")))
-
-        out: list[tuple] = []
-        for (book, _), rows in groupby(stream(), key=lambda r: (r[0], r[1])):
-            trie: dict = {}
-            for _, _, role, name, rank, word in rows:  # known names come first in each shard
+        have: list[tuple] = []
+        asked: list[tuple] = []
+        now, begun, shard = None, (0, 0), 0
+        for b in batches:
+            for book, key, role, name, rank, word in zip(*(b[c].to_pylist() for c in ("book_id", "key", "role_id", "name", "rank", "word"))):
+                if (book, key) != now:
+                    if begun[0] == len(have) or begun[1] == len(asked):  # a shard without one of the sides
+                        del have[begun[0] :], asked[begun[1] :]
+                    if len(have) + len(asked) >= batch:
+                        yield join(have, asked)
+                        have, asked, shard = [], [], 0
+                    now, begun, shard = (book, key), (len(have), len(asked)), shard + 1
                 if role is not None:
-                    node = trie
-                    for c in word:
-                        node = node.setdefault(c, {})
-                    node.setdefault(None, []).append((role, rank))
-                elif trie:
-                    for edits, _, values in within(trie, word, most_edits if len(word) >= 5 else 0):
-                        out += [(book, name, role, rank + r + 12 * edits) for role, r in values]
-            if len(out) > 20_000:
-                yield _candidates(out)
-                out = []
-        yield _candidates(out)
+                    have.append((shard, word, role, rank))
+                else:
+                    asked.append((shard, word, book, name, rank))
+        yield join(have, asked)
 
     sides = k.unionByName(t).where("way = 'trie'")
-    sharded = sides.repartition("book_id", "key").sortWithinPartitions("book_id", "key", F.col("role_id").isNull())
+    sharded = sides.repartition("book_id", "key").sortWithinPartitions("book_id", "key")
     near = sharded.mapInArrow(walk, "book_id long, name string, role_id string, rank int")
     ranked = met.unionByName(near).groupBy("book_id", "name", "rank").agg(F.min("role_id").alias("lo"), F.max("role_id").alias("hi"))
     best = ranked.groupBy("book_id", "name").agg(F.min(F.struct("rank", "lo", "hi")).alias("b"))

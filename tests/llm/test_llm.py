@@ -21,7 +21,7 @@ from sagaloom.llm.fusion import fuse_values
 from sagaloom.llm.record_queries import field_claims
 from sagaloom.llm.leakage import ItemIndex, find_leaks, fingerprints, leaks, letters_of
 from sagaloom.llm.lookalikes import one_form, same_look_pairs, same_shapes
-from sagaloom.llm.names import NameForms, link_names, within
+from sagaloom.llm.names import NameForms, errors, link_names, nearby, shards
 from sagaloom.llm.sentences import Tagger, split_sentences, train_tagger
 from sagaloom.llm.splitting import SEPARATORS, boundary_levels, pack, split_oversized
 from sagaloom.llm.survivors import surviving_records
@@ -203,16 +203,48 @@ def brute_osa(a: str, b: str) -> int:
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text("abc", min_size=1, max_size=6), min_size=1, max_size=8, unique=True), st.text("abc", max_size=6), st.integers(0, 2))
-def test_automaton_like_brute_force(words, asked, most):
-    trie: dict = {}
-    for w in words:
-        node = trie
-        for c in w:
-            node = node.setdefault(c, {})
-        node.setdefault(None, []).append(w)
-    got = {w: e for e, w, _ in within(trie, asked, most)}
-    assert got == {w: brute_osa(asked, w) for w in words if brute_osa(asked, w) <= most}
+@given(st.lists(st.text("abc", min_size=1, max_size=10), min_size=1, max_size=8, unique=True), st.lists(st.text("abc", min_size=1, max_size=10), min_size=1, max_size=4, unique=True))
+def test_trie_join_like_brute_force(known, typed):
+    """Names within the known one's errors meet in a shard, and the automata find just them there."""
+    number: dict = {}
+    have = [(number.setdefault(x, len(number)), w) for w in known for x in sorted(shards(w, errors(w)))]
+    asked = [(number.setdefault(x, len(number)), w) for w in typed for x in sorted(shards(w, 2))]
+    got: dict = {}
+    for i, j, e in zip(*nearby(have, asked)):
+        pair = (asked[i][1], have[j][1])
+        got[pair] = min(int(e), got.get(pair, 9))
+    want = {(t, k): brute_osa(t, k) for t in typed for k in known if brute_osa(t, k) <= errors(k)}
+    assert got == want
+
+
+def test_link_probes(spark):
+    """Short names, two errors, five tokens in another order, ideographs with one character wrong."""
+    known = [(1, "Odell", "a"), (1, "Bram", "b"), (1, "Katherine Blackwood", "c"), (1, "Maria de la Cruz Lopez", "d"), (1, "欧阳明远山", "e"), (1, "Li", "f"), (2, "Odell", "z")]
+    links = {"Odel": "a", "Odelll": "a", "Brmm": "b", "Braam": "b", "Kathrine Blackwod": "c", "Blackwod Kathrine": "c", "Lopez Cruz la de Maria": "d", "Lopez Cruz la de Marya": "d", "欧阳明元山": "e", "欧阳远明山": "e"}
+    none = ["Lu", "Kathrin Blackwd", "Brrmm", "欧明远"]
+    k = spark.createDataFrame(known, "book_id long, name string, role_id string")
+    t = spark.createDataFrame([(1, n) for n in [*links, *none]], "book_id long, name string")
+    assert {r.name: r.role_id for r in link_names(k, t).collect()} == links
+    assert {r.name: r.role_id for r in link_names(k, t, batch=3).collect()} == links
+
+
+def test_recall_by_errors(spark):
+    """Random names with one and two errors anywhere come back to their role, all of them."""
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["".join(rng.choice(letters) for _ in range(n)).capitalize() + " " + "".join(rng.choice(letters) for _ in range(n)).capitalize() for n in range(4, 10) for _ in range(20)]
+
+    def wrong(name: str) -> str:
+        i = rng.randrange(len(name))
+        while name[i] == " ":
+            i = rng.randrange(len(name))
+        return rng.choice([name[:i] + name[i + 1 :], name[:i] + rng.choice(letters) + name[i + 1 :], name[:i] + rng.choice(letters) + name[i:]])
+
+    k = spark.createDataFrame([(1, n, str(i)) for i, n in enumerate(names)], "book_id long, name string, role_id string")
+    one = [(wrong(n), str(i)) for i, n in enumerate(names)]
+    two = [(wrong(wrong(n)), str(i)) for i, n in enumerate(names)]
+    got = {r.name: r.role_id for r in link_names(k, spark.createDataFrame([(1, n) for n, _ in one + two], "book_id long, name string")).collect()}
+    assert all(n in names or got.get(n) == i for n, i in one + two)
 
 
 def test_link_names(spark):
