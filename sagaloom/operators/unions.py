@@ -6,27 +6,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sagaloom.session import cut
+from sagaloom.operators.components import connected_components
 
 
-def name_components(edges: DataFrame, group: str, max_rounds: int = 40) -> DataFrame:
-    """group, name, root: each name of edges (group, x, y) with the least name it hangs together with.
-
-    Labels take the least label among neighbours and then their label's own label, each round written to the shared folder.
-    """
-    both = edges.where("x is not null and y is not null").select(group, "x", "y").distinct()
-    sym = cut(both.union(both.select(group, "y", "x")).distinct().where("x <> y"))
-    label = cut(sym.groupBy(group, F.col("x").alias("name")).agg(F.min("y").alias("m")).select(group, "name", F.least("name", "m").alias("root")))
-    for _ in range(max_rounds):
-        seen = sym.join(label.select(group, F.col("name").alias("y"), F.col("root").alias("r")), [group, "y"]).groupBy(group, F.col("x").alias("name")).agg(F.min("r").alias("r"))
-        low = label.join(seen, [group, "name"], "left").select(group, "name", F.col("root").alias("old"), F.least("root", "r").alias("root"))
-        low = cut(low)
-        jump = low.select(group, F.col("name").alias("root"), F.col("root").alias("up"))
-        new = cut(low.join(jump, [group, "root"], "left").select(group, "name", "old", F.coalesce("up", "root").alias("root")))
-        label = new.select(group, "name", "root")
-        if new.where("old <> root").isEmpty():
-            return label
-    raise RuntimeError("labels still change after the last round")
+def name_components(edges: DataFrame, group: str) -> DataFrame:
+    """group, name, root: each name of edges (group, x, y) with the least name it hangs together with."""
+    node = lambda c: F.when(F.col(group).isNotNull() & F.col(c).isNotNull(), F.struct(F.col(group).alias("g"), F.col(c).alias("name")))
+    found = connected_components(edges.select(node("x").alias("u"), node("y").alias("v")))
+    return found.select(F.col("node.g").alias(group), F.col("node.name").alias("name"), F.col("label.name").alias("root"))
 
 
 def capped_unions(edges: DataFrame, group: str, cap: int = 15) -> DataFrame:

@@ -5,15 +5,17 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sagaloom.operators.references import key_versions, orphan_references, orphan_report, reference_rows
+from sagaloom.operators.references import OrphanState, key_versions, orphan_references, orphan_report, reference_rows
+from sagaloom.session import cut
 from sagaloom.sources.tables import table
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per record and reference to a role that is missing, deleted or late."""
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of all three tables."""
     roles = table(spark, sf_dir, "unified_roles")
-    refs = reduce(
+    return reduce(
         DataFrame.unionByName,
         [
             reference_rows(table(spark, sf_dir, "unified_events"), "unified_events", "id", "participants"),
@@ -21,7 +23,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
             reference_rows(table(spark, sf_dir, "unified_locations"), "unified_locations", "id", "associated_entities"),
         ],
     )
-    return orphan_references(refs, key_versions(roles, "id", "record_id", "updated_at", "created_at", "deleted_at"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record and reference to a role that is missing, deleted or late."""
+    roles = table(spark, sf_dir, "unified_roles")
+    return orphan_references(_references(spark, sf_dir), key_versions(roles, "id", "record_id", "updated_at", "created_at", "deleted_at"))
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +36,22 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(p3_found(spark, sf_dir))
 
 
+def p3_delta(spark: SparkSession, sf_dir: str, since: str = "2025-07-01") -> DataFrame:
+    """The report of p3_report from a kept state: all changes before a day, then those since as a second batch.
+
+    The first batch also holds wrong references, which the second takes back: they leave no trace.
+    """
+    refs = _references(spark, sf_dir)
+    early = F.coalesce(F.col("created_at") < F.lit(since).cast("timestamp"), F.lit(False))
+    seen = F.coalesce(F.col("updated_at") < F.lit(since).cast("timestamp"), F.lit(True))
+    roles = table(spark, sf_dir, "unified_roles")
+    versions = lambda rows: key_versions(rows, "id", "record_id", "updated_at", "created_at", "deleted_at")
+    wrong = refs.where(~early).withColumn("ref_id", F.concat("ref_id", F.lit("?")))
+    first = OrphanState.empty(spark).apply(refs.where(early).unionByName(wrong), None, versions(roles.where(seen)))
+    stored = OrphanState(cut(first.keys), cut(first.slots))
+    return stored.apply(refs.where(~early), wrong, versions(roles.where(~seen))).report()
+
+
 _FOUND = """
 WITH refs AS (
   SELECT DISTINCT 'unified_events' AS src_table, id AS src_key, lower(trim(x)) AS ref_id, created_at
@@ -54,8 +77,6 @@ WITH refs AS (
 SELECT DISTINCT src_table, src_key, ref_id, kind, period FROM judged WHERE kind IS NOT NULL
 """
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report}
-SQL = {
-    "p3_found": _FOUND,
-    "p3_report": f"SELECT src_table, period, kind, count(*) AS n_references, count(DISTINCT ref_id) AS n_keys FROM ({_FOUND}) GROUP BY ALL",
-}
+_REPORT = f"SELECT src_table, period, kind, count(*) AS n_references, count(DISTINCT ref_id) AS n_keys FROM ({_FOUND}) GROUP BY ALL"
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_delta": p3_delta}
+SQL = {"p3_found": _FOUND, "p3_report": _REPORT, "p3_delta": _REPORT}

@@ -47,10 +47,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one is chosen only where the cluster names none (tests)."""
+    """The checkpoint folder of the session; one is chosen only in local mode, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if named is None:
             named = os.path.join("/tmp", f"sagaloom-checkpoints-{os.getuid()}")
         sc.setCheckpointDir(named)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import zipfile
 
 import pytest
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 
 from sagaloom.functions.ranges import overlap_size, overlaps
 from sagaloom.functions.text import chinese_number, low_signal, pack_sentences, parse_year, plain_sentences, summary, trim_candidate
+from sagaloom.operators.components import connected_components
 from sagaloom.operators.dictionary import greedy, match_names
 from sagaloom.operators.merging import best_of, freshness, missing_keys, upsert
 from sagaloom.operators.ranking import numbered, with_stats
-from sagaloom.operators.references import existence_deltas, key_counts, key_versions, merge_versions, orphan_keys, orphan_references, reference_deltas, reference_rows
+from sagaloom.operators.references import OrphanState, existence_deltas, key_counts, key_versions, merge_versions, orphan_keys, orphan_references, reference_deltas, reference_rows
 from sagaloom.operators.unions import capped_unions, name_components
 from sagaloom.sources.books import build_book, read_paragraphs
 from sagaloom.sources.stores import json_in_text, markdown_chapters, read_json, read_units, write_json, write_store
@@ -38,9 +40,26 @@ def test_references(spark):
     two = merge_versions(one.unionByName(key_versions(roles.where("record_id = 4"), "id", "record_id", "updated_at", "created_at", "deleted_at")))
     refs = reference_rows(ev, "t", "id", "participants").distinct()
     first = reference_deltas(refs).unionByName(existence_deltas(one))
-    assert {(r.ref_id, r.kind) for r in orphan_keys(key_counts(first)).collect()} == {("r9", "missing"), ("r3", "late")}
+    assert {(r.ref_id, r.kind) for r in orphan_keys(key_counts(first)).collect()} == {("r9", "missing")}
     second = first.unionByName(existence_deltas(two, one)).unionByName(reference_deltas(refs.where("ref_id = 'r9'"), -1))
-    assert {(r.ref_id, r.kind) for r in orphan_keys(key_counts(second)).collect()} == {("r2", "deleted"), ("r3", "late")}
+    assert {(r.ref_id, r.kind) for r in orphan_keys(key_counts(second)).collect()} == {("r2", "deleted")}
+
+
+def test_orphan_state(spark, tmp_path):
+    """References to a key created in June, from May and July: the May one is taken back, the key turns out to be older, dies."""
+    roles = lambda rows: key_versions(spark.createDataFrame(rows, "record_id long, id string, created_at timestamp, updated_at timestamp, deleted_at timestamp"), "id", "record_id", "updated_at", "created_at", "deleted_at")
+    refs = lambda rows: reference_rows(spark.createDataFrame(rows, "id string, participants array<string>, created_at timestamp"), "t", "id", "participants")
+    report = lambda s: {tuple(r) for r in s.report().collect()}
+    one = OrphanState.empty(spark).apply(refs([("e1", ["k"], T(5, 1)), ("e2", ["k", "x"], T(7, 1)), ("e3", ["k"], T(5, 9)), ("e1", ["k"], T(5, 1))]), None, roles([(1, "k", T(6, 1), T(6, 1), None)]))
+    assert report(one) == {("t", "2025-05", "late", 2, 1), ("t", "2025-07", "missing", 1, 1)}
+    one.write(str(tmp_path / "s"))
+    kept = OrphanState.read(spark, str(tmp_path / "s"))
+    assert report(kept.apply(gone=refs([("e1", ["k"], T(5, 1)), ("e3", ["k"], T(5, 9))]))) == {("t", "2025-07", "missing", 1, 1)}
+    two = kept.apply(gone=refs([("e1", ["k"], T(5, 1))]))
+    assert report(two) == {("t", "2025-05", "late", 1, 1), ("t", "2025-07", "missing", 1, 1)}
+    older = two.apply(versions=roles([(2, "k", T(5, 2), T(6, 5), None), (3, "x", T(6, 1), None, None)]))
+    assert report(older) == set()
+    assert report(older.apply(gone=refs([("e3", ["k"], T(5, 9))]), versions=roles([(2, "k", T(5, 2), T(8, 1), T(8, 1))]))) == {("t", "2025-07", "deleted", 1, 1)}
 
 
 def test_text_functions(spark):
@@ -93,6 +112,29 @@ def test_unions(spark):
     assert {(r.name, r.root) for r in capped_unions(e.where("b = 1"), "b", cap=2).collect()} == {("甲一", "乙"), ("乙", "乙"), ("丙三四", "丙三四")}
 
 
+def test_components_like_brute_force(spark):
+    """A long path numbered in a row, a star, random edges, loops, repeats and nulls, with keys of two types."""
+    rng = random.Random(3)
+    pairs = [(i, i + 1) for i in range(400)] + [(1000, 1000 + i) for i in range(300)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)] + [(5, 5), (7, 6), (None, 3), (9000, 9000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    want = {n: find(n) for n in list(root)}
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    assert {r.node: r.label for r in connected_components(edges).collect()} == want
+    text = edges.select(*(F.when(F.col(c).isNotNull(), F.format_string("%05d", c)).alias(c) for c in ("u", "v")))
+    assert {int(r.node): int(r.label) for r in connected_components(text).collect()} == want
+    assert connected_components(edges.limit(0)).count() == 0
+
+
 def test_merging(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, t int")
     new = spark.createDataFrame([(2, "c", 2), (2, "d", 3), (3, "e", 1)], "k int, v string, t int")
