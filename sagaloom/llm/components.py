@@ -1,8 +1,7 @@
-"""Consolidating pairwise matches into groups: connected components over DataFrames (problem 5).
+"""Consolidating pairwise matches into groups (problem 5): records that share values become edges, and edges components.
 
-Minimum labels travel along the edges, trees are hooked below smaller roots, and labels jump to the labels of their labels;
-each round is written to the shared checkpoint folder, until no label changes. Rounds grow with the logarithm of the longest
-chain.
+The components are those of operators/components.py: minimum labels travel along the edges, labels jump to the labels of their
+labels, each round is written to the shared checkpoint folder, until nothing changes.
 
 Defined cases: null nodes and loops are no edges; repeated and reversed edges count once; no edges give no rows.
 """
@@ -12,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sagaloom.operators.skew import salted_lookup
-from sagaloom.session import cut
+from sagaloom.operators.components import connected_components
+
+__all__ = ["connected_components", "star_edges"]
 
 
 def star_edges(members: DataFrame, keys: list[str], node: str) -> DataFrame:
@@ -28,26 +28,3 @@ def star_edges(members: DataFrame, keys: list[str], node: str) -> DataFrame:
     inner = salted.join(tied, [*keys, "_salt"]).where("u > v").select("u", "v")
     top = local.groupBy(*keys).agg(F.collect_set("v").alias("us"), F.min("v").alias("v")).where(F.size("us") > 1)
     return inner.unionByName(top.select(F.explode("us").alias("u"), "v").where("u > v"))
-
-
-def connected_components(edges: DataFrame, salts: int = 8, max_rounds: int = 60) -> DataFrame:
-    """node, label: every node of edges (u, v) with the least node of its component."""
-    kept = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    kept = cut(kept)
-    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("near")), F.struct(F.col("v").alias("node"), F.col("u").alias("near"))))
-    labels = cut(kept.select(ends.alias("e")).groupBy("e.node").agg(F.min("e.near").alias("near")).select("node", F.least("node", "near").alias("label")))
-    for _ in range(max_rounds):
-        at_u = salted_lookup(kept, labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), ["u"], "v", salts)
-        both = salted_lookup(at_u, labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), ["v"], "u", salts)
-        low = F.least("lu", "lv")
-        told = F.explode(F.array(*(F.struct(F.col(c).alias("node"), low.alias("seen")) for c in ("u", "v", "lu", "lv"))))
-        told = both.where("lu <> lv").select(told.alias("t")).groupBy("t.node").agg(F.min("t.seen").alias("seen"))
-        told = labels.join(told, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        told = cut(told)
-        up = told.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = salted_lookup(told, up, ["label"], "node", salts, "left").select("node", "old", F.coalesce("up", "label").alias("label"))
-        jumped = cut(jumped)
-        labels = jumped.select("node", "label")
-        if jumped.where("old <> label").isEmpty():
-            return labels
-    raise RuntimeError("labels still change after the last round")
