@@ -43,22 +43,19 @@ _SHAPES = ("CJK", "KANGXI", "KATAKANA")
 
 
 def same_shapes(spark: SparkSession) -> dict[str, str]:
-    """Letters and ideographs by the plain one of the same shape, from the Unicode confusables in Spark's ICU.
+    """Letters and ideographs by the plain one of the same shape, from the Unicode confusables in Spark's ICU, without which this fails.
 
     Letters of other alphabets go to the ASCII letter of their case with the same skeleton; radicals and the few Katakana that
     equal an ideograph go to it. Latin letters and digits are never folded, as their differences are visible spelling.
     """
     out = dict(FEW_LETTERS)
-    try:
-        checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
-        plain = {checker.getSkeleton(c): c for c in "ABCDEFGHJKLMNOPQRSTUVWXYZabcdefghijklnopqrstuvwxyz"}
-        letters = [chr(c) for c in [*range(0x370, 0x590), *range(0x13A0, 0x1400), *range(0x2C80, 0x2D00), *range(0x2E80, 0x3200), *range(0xA4D0, 0xA500), *range(0xAB70, 0xABC0)]]
-        letters = [c for c in letters if unicodedata.category(c)[0] == "L" or unicodedata.name(c, "").split(" ")[0] in ("CJK", "KANGXI")]
-        shapes = checker.getSkeleton("\n".join(letters)).split("\n")
-    except Exception:  # noqa: BLE001 - a JVM without ICU has the few letters only
-        return out
+    checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+    plain = {checker.getSkeleton(c): c for c in "ABCDEFGHJKLMNOPQRSTUVWXYZabcdefghijklnopqrstuvwxyz"}
+    letters = [chr(c) for c in [*range(0x370, 0x590), *range(0x13A0, 0x1400), *range(0x2C80, 0x2D00), *range(0x2E80, 0x3200), *range(0xA4D0, 0xA500), *range(0xAB70, 0xABC0)]]
+    letters = [c for c in letters if unicodedata.category(c)[0] == "L" or unicodedata.name(c, "").split(" ")[0] in ("CJK", "KANGXI")]
+    shapes = checker.getSkeleton("\n".join(letters)).split("\n")
     if len(shapes) != len(letters):
-        return out
+        raise RuntimeError("the confusables of this ICU change the number of lines")
     for c, shape in zip(letters, shapes):
         script, upper = unicodedata.name(c, "").split(" ")[0], c != c.lower()
         if script in _SCRIPTS:
@@ -182,46 +179,58 @@ def one_form(texts: pa.Array, shapes: tuple[tuple[str, str], ...]) -> pa.Array:
     return pc.if_else(texts.is_valid(), made, pa.scalar(None, pa.string())) if texts.null_count else made
 
 
-def _unstable(shapes: tuple[tuple[str, str], ...]) -> str:
-    """A Java character class of all that may change: a text without any of it is in its one form already.
-
-    Ranges with small gaps are joined to keep the class short; a text let through in vain only costs its look at the tables.
-    """
+@lru_cache(1)
+def _unstable(shapes: tuple[tuple[str, str], ...]) -> np.ndarray:
+    """All code points that may change: a text without any of them is in its one form already."""
     start, _, _, classes, _ = _tables(shapes)
     may = (start >= 0) | (classes > 0)
     may[0x1100:0x1200] = True
-    at = np.flatnonzero(may)
-    breaks = np.flatnonzero(np.diff(at) > 48)
-    lows, highs = at[np.append(0, breaks + 1)], at[np.append(breaks, len(at) - 1)]
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in zip(lows.tolist(), highs.tolist())) + "]"
+    return may
+
+
+#: The characters with the White_Space property.
+WHITE = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def trimmed(c: Column) -> Column:
     """Surrounding white space of any sort removed."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def same_look_pairs(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, text_a, text_b: pairs of different texts with equal keys and one form, the smaller by code point first.
 
-    Only texts that the table may change go through Python; of those, the ones that do change are kept with their form. Any
-    pair holds at least one of them, so all other texts are merely looked up among the forms by equality.
+    In one pass each text is reduced to 128 bits of hash of its keys and itself; only the texts that their form changes are kept
+    with it. Any pair holds at least one of these, and a text that equals its form needs no characters of its own: where its hash
+    is that of a form, it is the form. So the corpus is exchanged as hashes, never as text.
     """
     spark = texts.sparkSession
     shapes = tuple(sorted(same_shapes(spark).items()))
     kinds = ", ".join(f"{k} {texts.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = _unstable(shapes)
         for b in batches:
-            form = one_form(b["text"], shapes)
-            changed = pc.not_equal(form, b["text"])
-            yield pa.RecordBatch.from_arrays([*b.columns, form], names=[*b.schema.names, "form"]).filter(changed)
+            codes, lengths = code_points(b["text"])
+            rows = np.unique(np.searchsorted(np.cumsum(lengths), np.flatnonzero(may[codes]), "right"))
+            few = b["text"].take(pa.array(rows, pa.int64()))
+            form = one_form(few, shapes)
+            changed = np.asarray(pc.not_equal(form, few).fill_null(False), bool)
+            where = np.full(b.num_rows, -1, np.int64)
+            where[rows[changed]] = np.flatnonzero(changed)
+            at = pa.array(where, mask=where < 0)
+            cols = [b[k] for k in (*keys, "h1", "h2")]
+            yield pa.RecordBatch.from_arrays([*cols, few.take(at), form.take(at)], names=[*keys, "h1", "h2", "text", "form"])
+
+    def hashes(c: str) -> list[Column]:
+        return [F.xxhash64(*keys, F.col(c)).alias("h1"), F.xxhash64(F.lit("second"), *keys, F.col(c)).alias("h2")]
 
     rows = texts.select(*keys, F.col(text).alias("text")).where("text is not null")
-    changed = rows.where(F.col("text").rlike(_unstable(shapes))).mapInArrow(run, f"{kinds}, text string, form string").distinct()
-    changed = cut(changed)
-    forms = changed.select(*keys, "form").distinct()
-    still = rows.withColumn("form", F.col("text")).join(forms, [*keys, "form"], "left_semi").select(*keys, "text", "form").distinct()
+    seen = cut(rows.select(*keys, *hashes("text"), "text").mapInArrow(run, f"{kinds}, h1 long, h2 long, text string, form string"))
+    changed = seen.where("form is not null").select(*keys, "text", "form").distinct().select(*keys, *hashes("form"), "text", "form")
+    plain = seen.where("form is null").select("h1", "h2").distinct()
+    forms = changed.select(*keys, "h1", "h2", "form").distinct()
+    still = forms.join(plain, ["h1", "h2"], "left_semi").select(*keys, "h1", "h2", F.col("form").alias("text"), "form")
     members = changed.unionByName(still)
-    a, b = (members.select(*keys, "form", F.col("text").alias(n)) for n in ("text_a", "text_b"))
-    return a.join(b, [*keys, "form"]).where("text_a < text_b").select(*keys, "text_a", "text_b")
+    a, b = (members.select(*keys, "h1", "h2", "form", F.col("text").alias(n)) for n in ("text_a", "text_b"))
+    return a.join(b, [*keys, "h1", "h2", "form"]).where("text_a < text_b").select(*keys, "text_a", "text_b")
