@@ -200,9 +200,10 @@ def trimmed(c: Column) -> Column:
 def same_look_pairs(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, text_a, text_b: pairs of different texts with equal keys and one form, the smaller by code point first.
 
-    In one pass each text is reduced to 128 bits of hash of its keys and itself; only the texts that their form changes are kept
-    with it. Any pair holds at least one of these, and a text that equals its form needs no characters of its own: where its hash
-    is that of a form, it is the form. So the corpus is exchanged as hashes, never as text.
+    In one pass each text is reduced to 128 bits of hash of its keys and form, and 64 of itself. Only these are exchanged, to
+    find the forms of more than one text; the few texts of those forms are then looked up, by broadcast or behind a Bloom filter
+    as the planner sees fit, and compared by their forms. A text that equals its form is not kept: among the members of a form
+    it is the form itself.
     """
     spark = texts.sparkSession
     shapes = tuple(sorted(same_shapes(spark).items()))
@@ -219,18 +220,22 @@ def same_look_pairs(texts: DataFrame, keys: list[str], text: str = "text") -> Da
             where = np.full(b.num_rows, -1, np.int64)
             where[rows[changed]] = np.flatnonzero(changed)
             at = pa.array(where, mask=where < 0)
-            cols = [b[k] for k in (*keys, "h1", "h2")]
-            yield pa.RecordBatch.from_arrays([*cols, few.take(at), form.take(at)], names=[*keys, "h1", "h2", "text", "form"])
-
-    def hashes(c: str) -> list[Column]:
-        return [F.xxhash64(*keys, F.col(c)).alias("h1"), F.xxhash64(F.lit("second"), *keys, F.col(c)).alias("h2")]
-
-    rows = texts.select(*keys, F.col(text).alias("text")).where("text is not null")
-    seen = cut(rows.select(*keys, *hashes("text"), "text").mapInArrow(run, f"{kinds}, h1 long, h2 long, text string, form string"))
-    changed = seen.where("form is not null").select(*keys, "text", "form").distinct().select(*keys, *hashes("form"), "text", "form")
-    plain = seen.where("form is null").select("h1", "h2").distinct()
-    forms = changed.select(*keys, "h1", "h2", "form").distinct()
-    still = forms.join(plain, ["h1", "h2"], "left_semi").select(*keys, "h1", "h2", F.col("form").alias("text"), "form")
-    members = changed.unionByName(still)
-    a, b = (members.select(*keys, "h1", "h2", "form", F.col("text").alias(n)) for n in ("text_a", "text_b"))
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in (*keys, "h1", "h2", "t")), few.take(at), form.take(at)], names=[*keys, "h1", "h2", "t", "text", "form"])
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, one_form(b["text"], shapes)], names=[*b.schema.names, "form"])
+
+    one, two, own = (lambda c: F.xxhash64(*keys, c)), (lambda c: F.xxhash64(F.lit("second"), *keys, c)), (lambda c: F.xxhash64(c))
+    rows = texts.select(*keys, F.col(text).alias("text")).where("text is not null").select(*keys, one("text").alias("h1"), two("text").alias("h2"), own("text").alias("t"), "text")
+    judged = rows.mapInArrow(run, f"{kinds}, h1 long, h2 long, t long, text string, form string")
+    new = F.col("form").isNotNull()
+    seen = cut(judged.select(*keys, F.when(new, one("form")).otherwise(F.col("h1")).alias("h1"), F.when(new, two("form")).otherwise(F.col("h2")).alias("h2"), "t", "text"))
+    met = seen.groupBy("h1", "h2").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a <> z").select("h1", "h2")
+    members = cut(seen.join(met, ["h1", "h2"], "left_semi").select(*keys, "h1", "h2", "text").distinct())
+    changed = members.where("text is not null").mapInArrow(forms, f"{kinds}, h1 long, h2 long, text string, form string")
+    plain = members.where("text is null").select("h1", "h2")
+    still = changed.select(*keys, "h1", "h2", "form").distinct().join(plain, ["h1", "h2"], "left_semi").select(*keys, "h1", "h2", F.col("form").alias("text"), "form")
+    every = changed.unionByName(still)
+    a, b = (every.select(*keys, "h1", "h2", "form", F.col("text").alias(n)) for n in ("text_a", "text_b"))
     return a.join(b, [*keys, "h1", "h2", "form"]).where("text_a < text_b").select(*keys, "text_a", "text_b")
