@@ -17,6 +17,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(chunks, train_tagger(chunks))
 
 
+def p1_unmarked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the long stretches without marks cut too, where the model of mark-stripped text finds boundaries."""
+    chunks = table(spark, sf_dir, "chunk_extractions")
+    return split_sentences(chunks, train_tagger(chunks, unmarked=True))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of at most 600 characters, 60 shared, of every larger chunk."""
     return split_oversized(table(spark, sf_dir, "chunk_extractions"))
@@ -32,7 +38,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(sentences.unionByName(names), ["field_name", "book_id"])
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p1_unmarked": p1_unmarked, "p2_found": p2_found, "p4_found": p4_found}
 _P2 = """
 WITH RECURSIVE c AS (
   SELECT DISTINCT chunk_id, chunk_start_index AS f, list_transform(source_sentences, lambda y: coalesce(y, '')) AS e FROM chunk_extractions WHERE source_sentences IS NOT NULL

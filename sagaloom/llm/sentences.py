@@ -1,13 +1,20 @@
 """Sentence boundaries across languages and scripts (problem 1).
 
-Characters are tagged boundary or inside by a linear-chain model: only ends of mark runs, spaces of Thai and blank lines can be
-boundaries, all other characters are inside for certain, so the chain is decoded over those places by Viterbi. A place is
-described by its marks, the quotation or title it stands in, the words around it and the clause after it; the label of the
-place before is part of the description (a maximum-entropy Markov model).
+Characters are tagged boundary or inside by linear-chain conditional random fields and Viterbi decoding; the fit is by
+forward-backward over whole chains. The first field runs over the places that marks give: ends of mark runs, spaces of Thai and
+blank lines can be boundaries, all other characters are inside for certain. A place is described by its marks, the quotation or
+title it stands in, the words around it and the clause after it.
 
 Weights start from a prior that holds general knowledge (marks, common abbreviations, speech after a quotation) and are fitted
 to the corpus itself: of a bounded sample of chunks, those whose stored elements end at most of the undoubted marks serve as
-weak labels, unless they also end where the prior is certain that none does (a tool that cuts at every dot). Thai, which has no marks, is learned from its spaces alone. A corpus without usable chunks leaves the prior.
+weak labels, unless they also end where the prior is certain that none does (a tool that cuts at every dot). A corpus without
+usable chunks leaves the prior.
+
+The second field is for stretches without any mark or space, in scripts that need none between words: ideographs and kana, Thai,
+Lao, Khmer, Burmese. There every gap between characters is a place, described by the characters around it. It is trained on
+text whose marks were stripped: the sentences that the first field finds in the same sample, run together without their marks
+and spaces. It decodes stretches longer than twice the mean sentence it was trained on; a script not seen in training has no
+boundaries inside a stretch. It is asked for (fit_bare): where the rule is that only marks end a sentence, it is left out.
 
 Defined cases: a null array gives no rows, null elements count as empty, a text of white space gives no rows; a text without
 any boundary is one sentence; rows delivered twice give their sentences once.
@@ -199,71 +206,165 @@ PRIOR = {
 }
 
 
+def marginals(score: np.ndarray, length: np.ndarray, after: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Of padded chains: the probability of a boundary at each place, and the expected number of boundaries after an inside and
+    after a boundary. A boundary at a place scores score + after[label before]; the place before the first is a boundary."""
+    n, most = score.shape
+    live = np.arange(most) < length[:, None]
+    with np.errstate(over="ignore"):
+        fore = np.zeros((most + 1, n, 2))
+        fore[0] = [-1e30, 0.0]
+        for t in range(most):
+            inside = np.logaddexp(fore[t, :, 0], fore[t, :, 1])
+            bound = np.logaddexp(fore[t, :, 0] + after[0], fore[t, :, 1] + after[1]) + score[:, t]
+            fore[t + 1] = np.where(live[:, t, None], np.stack([inside, bound], 1), fore[t])
+        back = np.zeros((n, 2))
+        total = np.logaddexp(fore[most, :, 0], fore[most, :, 1])
+        p, pairs = np.zeros((n, most)), np.zeros(2)
+        for t in range(most - 1, -1, -1):
+            on = live[:, t]
+            each = np.stack([np.exp(np.minimum(fore[t, :, y] + after[y] + score[:, t] + back[:, 1] - total, 0.0)) * on for y in (0, 1)])
+            p[:, t] = each.sum(0)
+            pairs += each.sum(1)
+            new = np.stack([np.logaddexp(back[:, 0], after[y] + score[:, t] + back[:, 1]) for y in (0, 1)], 1)
+            back = np.where(on[:, None], new, back)
+    return p, pairs
+
+
+def decode(score: list[float], after: tuple[float, float]) -> list[int]:
+    """Positions of the boundaries of the best labelling of a chain, by Viterbi."""
+    best, back = (-1e9, 0.0), []
+    for s in score:
+        bound = (best[0] + s + after[0], best[1] + s + after[1])
+        back.append((int(best[1] >= best[0]), int(bound[1] >= bound[0])))
+        best = (max(best), max(bound))
+    label, out = int(best[1] >= best[0]), []
+    for t in range(len(score) - 1, -1, -1):
+        if label:
+            out.append(t)
+        label = back[t][label]
+    return out[::-1]
+
+
+def fit_field(rows: list[list[list[str]]], labels: list[list[int]], fixed: list[list[bool]], start: dict[str, float], rounds: int, rate: float, pull: float) -> dict[str, float]:
+    """Weights of a field with boundary scores linear in descriptions, from labelled chains; fixed places are boundaries for
+    certain. Steps along the gradient of the likelihood (expected minus observed counts), drawn to the start by pull."""
+    names = sorted({x for chain in rows for d in chain for x in d})
+    index = {x: i for i, x in enumerate(names)}
+    length = np.array([len(c) for c in rows])
+    most = int(length.max())
+    cell = np.array([c * most + t for c, chain in enumerate(rows) for t, d in enumerate(chain) for _ in d], np.int64)
+    which = np.array([index[x] for chain in rows for d in chain for x in d], np.int64)
+    y, sure = np.zeros((len(rows), most)), np.zeros((len(rows), most), bool)
+    for c, (lab, fix) in enumerate(zip(labels, fixed)):
+        y[c, : len(lab)], sure[c, : len(fix)] = lab, fix
+    before = np.concatenate([np.ones((len(rows), 1)), y[:, :-1]], 1)
+    saw = np.array([((before == v) & (y == 1)).sum() for v in (0, 1)], float)
+    w0 = np.array([start.get(x, 0.0) for x in names])
+    a0 = np.array([start.get("after:0", 0.0), start.get("after:1", 0.0)])
+    w, a, seen = w0.copy(), a0.copy(), np.bincount(which, minlength=len(names))
+    speed, turn = np.full(len(names), 1e-3), np.full(2, 1e-3)
+    for _ in range(rounds):
+        score = np.bincount(cell, w[which], len(rows) * most).reshape(len(rows), most)
+        p, pairs = marginals(np.where(sure, 50.0, np.clip(score, -30, 30)), length, (a[0], a[1]))
+        off = np.where(sure, 0.0, p - y)
+        g = np.bincount(which, off.ravel()[cell], len(names)) + pull * (w - w0)
+        speed += (g / np.maximum(seen, 1)) ** 2
+        w -= rate * (g / np.maximum(seen, 1)) / np.sqrt(speed)
+        ga = (pairs - saw) / max(1.0, y.sum()) + 0.01 * (a - a0)
+        turn += ga**2
+        a -= 0.2 * rate * ga / np.sqrt(turn)
+    return {**{x: float(v) for x, v in zip(names, w)}, "after:0": float(a[0]), "after:1": float(a[1])}
+
+
+#: Scripts that put no spaces between words.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+_STRETCH = re.compile(f"[{_UNSPACED}]{{12,}}")
+
+
+def gaps(run: str) -> list[list[str]]:
+    """The description of every gap between the characters of a run without marks."""
+    out = []
+    for i in range(1, len(run)):
+        a, b = run[i - 1], run[i]
+        out.append(["l" + a, "r" + b, "L" + run[max(0, i - 2) : i], "R" + run[i : i + 2], "x" + a + b])
+    return out
+
+
 class Tagger:
-    """Weights by description, with the prior as their centre, and decoding."""
+    """Weights of both fields by description, with the prior as the centre of the first, and decoding."""
 
-    def __init__(self, weights: dict[str, float] | None = None):
+    def __init__(self, weights: dict[str, float] | None = None, bare: dict[str, float] | None = None, least: int = 1 << 30):
         self.weights = {**PRIOR, **(weights or {})}
+        self.bare, self.least = bare or {}, least
 
-    def fit(self, chunks: list[list[str]], rounds: int = 60, rate: float = 0.5, pull: float = 0.02) -> Tagger:
+    def fit(self, chunks: list[list[str]], rounds: int = 25, rate: float = 0.5, pull: float = 0.2) -> Tagger:
         """Fit to weakly labelled chunks (lists of elements); unsuitable ones are passed over."""
-        rows: list[list[str]] = []
-        labels: list[int] = []
+        rows: list[list[list[str]]] = []
+        labels: list[list[int]] = []
+        fixed: list[list[bool]] = []
         for elements in chunks:
             text = "".join(elements)
             ends, at = set(), 0
             for e in elements:
                 at += len(e)
                 ends.add(at - (len(e) - len(e.rstrip())))
-            found = [(p, d, int(bool({p, len(text[:p].rstrip())} & ends))) for p, sure, d in places(text) if not sure and d and p < len(text.rstrip())]
-            scores = [sum(PRIOR.get(x, 0.0) for x in d) for _, d, _ in found]
-            sure = [y for (_, d, y), v in zip(found, scores) if v >= 2.5 and "dot" not in d]
-            dots = [y for (_, d, y), v in zip(found, scores) if v >= 2.0 and "dot" in d]  # some may be unknown abbreviations
-            never = sum(y for (_, _, y), v in zip(found, scores) if v <= -1.0)
-            strange = len(ends - {len(text.rstrip())}) - sum(y for *_, y in found)
+            spots = [(p, certain, d) for p, certain, d in places(text) if p < len(text.rstrip())]
+            mark = [int(certain or bool({p, len(text[:p].rstrip())} & ends)) for p, certain, _ in spots]
+            found = [(d, y) for (_, certain, d), y in zip(spots, mark) if not certain and d]
+            scores = [sum(PRIOR.get(x, 0.0) for x in d) for d, _ in found]
+            sure = [y for (d, y), v in zip(found, scores) if v >= 2.5 and "dot" not in d]
+            dots = [y for (d, y), v in zip(found, scores) if v >= 2.0 and "dot" in d]  # some may be unknown abbreviations
+            never = sum(y for (_, y), v in zip(found, scores) if v <= -1.0)
+            strange = len(ends - {len(text.rstrip())}) - sum(y for _, y in found)
             if len(found) < 2 or never or strange > 0.1 * len(ends) or not sure + dots or sure and np.mean(sure) < 0.9 or dots and np.mean(dots) < 0.4:
                 continue
-            last = 1
-            for _, d, y in found:
-                rows.append([*d, f"after:{last}"])
-                labels.append(y)
-                last = y
-        if len(rows) < 50:
+            rows.append([d for _, _, d in spots])
+            labels.append(mark)
+            fixed.append([certain for _, certain, _ in spots])
+        if sum(map(len, rows)) < 50:
             return self
-        names = sorted({x for r in rows for x in r})
-        index = {x: i for i, x in enumerate(names)}
-        which = np.array([index[x] for r in rows for x in r])
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        y = np.array(labels, float)
-        w0 = np.array([self.weights.get(x, 0.0) for x in names])
-        w, seen = w0.copy(), np.bincount(which, minlength=len(names))
-        speed = np.full(len(names), 1e-3)
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[which], len(rows)), -30, 30)))
-            g = np.bincount(which, (p - y)[row], len(names)) + pull * 10 * (w - w0)
-            speed += (g / np.maximum(seen, 1)) ** 2
-            w -= rate * (g / np.maximum(seen, 1)) / np.sqrt(speed)
-        self.weights.update({x: float(v) for x, v in zip(names, w)})
+        self.weights.update(fit_field(rows, labels, fixed, self.weights, rounds, rate, pull))
         return self
 
+    def fit_bare(self, texts: list[str], most_places: int = 60_000, rounds: int = 20, rate: float = 0.5, pull: float = 0.2) -> Tagger:
+        """Fit the field of unmarked stretches to text with its marks stripped, at most most_places gaps of it."""
+        rows: list[list[list[str]]] = []
+        labels: list[list[int]] = []
+        filled = sizes = 0
+        for text in texts:
+            pieces = ["".join(re.findall(f"[{_UNSPACED}]", text[s:e])) for s, e in self.sentences(text)]
+            pieces = [x for x in pieces if len(x) > 1]
+            if len(pieces) < 2 or filled >= most_places:
+                continue
+            run, ends = "".join(pieces), set(np.cumsum([len(x) for x in pieces]).tolist())
+            rows.append(gaps(run))
+            labels.append([int(i in ends) for i in range(1, len(run))])
+            filled += len(run)
+            sizes += len(pieces)
+        if sizes >= 20:
+            self.bare = fit_field(rows, labels, [[False] * len(x) for x in labels], {"after:0": -2.0, "after:1": -4.0}, rounds, rate, pull)
+            self.least = int(2 * filled / sizes)
+        return self
+
+    def _unmarked(self, text: str) -> list[int]:
+        """Boundaries inside the stretches without marks."""
+        out: list[int] = []
+        get = self.bare.get
+        for m in _STRETCH.finditer(text):
+            if m.end() - m.start() >= self.least:
+                known = [[get(x) for x in d] for d in gaps(m[0])]
+                score = [sum(v for v in d if v is not None) if any(v is not None for v in d) else -30.0 for d in known]
+                out += [m.start() + t + 1 for t in decode(score, (get("after:0", 0.0), get("after:1", 0.0)))]
+        return out
+
     def boundaries(self, text: str) -> list[int]:
         """Ends of sentences by Viterbi over the places."""
         spots = places(text)
         get = self.weights.get
-        after = (get("after:0", 0.0), get("after:1", 0.0))
-        best, back = [-1e9, 0.0], []
-        for _, sure, d in spots:
-            s = 50.0 if sure else sum(get(x, 0.0) for x in d)
-            inside = (best[0], best[1])
-            bound = (best[0] + s + after[0], best[1] + s + after[1])
-            back.append((int(inside[1] >= inside[0]), int(bound[1] >= bound[0])))
-            best = [max(inside), max(bound)]
-        label, out = int(best[1] >= best[0]), []
-        for (end, _, _), b in zip(reversed(spots), reversed(back)):
-            if label:
-                out.append(end)
-            label = b[label]
-        return out[::-1]
+        score = [50.0 if certain else sum(get(x, 0.0) for x in d) for _, certain, d in spots]
+        out = [spots[t][0] for t in decode(score, (get("after:0", 0.0), get("after:1", 0.0)))]
+        return sorted({*out, *self._unmarked(text)}) if self.bare and len(text) >= self.least else out
 
     def sentences(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of the sentences, white space around them left out."""
@@ -278,24 +379,25 @@ class Tagger:
         return out
 
 
-def train_tagger(chunks: DataFrame, sample_chunks: int = 6000, most_chars: int = 4000) -> Tagger:
-    """A tagger fitted to about sample_chunks chunks of at most most_chars characters, chosen by a hash of the key."""
-    n = chunks.count()
-    if not n:
-        return Tagger()
-    step = max(1, n // sample_chunks)
+def train_tagger(chunks: DataFrame, sample_chunks: int = 6000, most_chars: int = 4000, unmarked: bool = False) -> Tagger:
+    """A tagger fitted to the sample_chunks chunks of at most most_chars characters with the least hash of their key.
+
+    The bound is these parameters; the sample is all that reaches the driver. unmarked adds the field of stretches without marks.
+    """
     size = F.aggregate("source_sentences", F.lit(0), lambda a, s: a + F.coalesce(F.length(s), F.lit(0)))
-    rows = chunks.where(F.col("source_sentences").isNotNull() & (F.pmod(F.xxhash64("chunk_id"), F.lit(step)) == 0) & (F.size("source_sentences") > 1) & (size <= most_chars))
-    sample = sorted((r[0], [e or "" for e in r[1]]) for r in rows.select("chunk_id", "source_sentences").limit(2 * sample_chunks).collect() if r[0] is not None)
-    return Tagger().fit([e for _, e in sample])
+    rows = chunks.where(F.col("chunk_id").isNotNull() & F.col("source_sentences").isNotNull() & (F.size("source_sentences") > 1) & (size <= most_chars))
+    got = rows.select("chunk_id", "source_sentences").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample_chunks).collect()
+    sample = [[e or "" for e in elements] for _, elements in sorted({r[0]: r[1] for r in got}.items())]
+    tagger = Tagger().fit(sample)
+    return tagger.fit_bare(["".join(e) for e in sample]) if unmarked else tagger
 
 
 def split_sentences(chunks: DataFrame, tagger: Tagger) -> DataFrame:
     """chunk_id, sentence_no, start_char, end_char of every sentence of the joined text of each chunk; no text is shuffled."""
-    weights = tagger.weights
+    sent = chunks.sparkSession.sparkContext.broadcast((tagger.weights, tagger.bare, tagger.least))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tag = Tagger(weights)
+        tag = Tagger(*sent.value)
         for b in batches:
             cols: list[list] = [[], [], [], []]
             for key, raw in zip(b["chunk_id"].to_pylist(), b["source_sentences"].to_pylist()):

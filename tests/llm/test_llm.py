@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import os
 import random
 import unicodedata
@@ -22,7 +23,7 @@ from sagaloom.llm.record_queries import field_claims
 from sagaloom.llm.leakage import ItemIndex, find_leaks, fingerprints, leaks, letters_of
 from sagaloom.llm.lookalikes import one_form, same_look_pairs, same_shapes
 from sagaloom.llm.names import NameForms, errors, link_names, nearby, shards
-from sagaloom.llm.sentences import Tagger, split_sentences, train_tagger
+from sagaloom.llm.sentences import Tagger, decode, marginals, split_sentences, train_tagger
 from sagaloom.llm.splitting import SEPARATORS, boundary_levels, pack, split_oversized
 from sagaloom.llm.survivors import surviving_records
 from tests.llm.unseen_sentences import FOUND, HARMLESS
@@ -75,6 +76,42 @@ def test_tagger_learns_from_the_corpus():
     assert len(tagger.sentences(text)) == 5
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.floats(-4, 4), min_size=1, max_size=6), min_size=1, max_size=4), st.floats(-2, 2), st.floats(-2, 2))
+def test_field_like_brute_force(chains, a0, a1):
+    """Marginals, pair counts and the best labelling against all labellings of short chains."""
+    most = max(map(len, chains))
+    score = np.array([c + [9.0] * (most - len(c)) for c in chains])
+    p, pairs = marginals(score, np.array([len(c) for c in chains]), (a0, a1))
+    want = np.zeros(2)
+    for k, c in enumerate(chains):
+        weigh = {}
+        for y in itertools.product((0, 1), repeat=len(c)):
+            before = (1, *y[:-1])
+            weigh[y] = sum(s + (a0, a1)[b] for s, b, v in zip(c, before, y) if v)
+        total = np.logaddexp.reduce(list(weigh.values()))
+        for t in range(len(c)):
+            assert abs(p[k, t] - sum(np.exp(w - total) for y, w in weigh.items() if y[t])) < 1e-6
+        for y, w in weigh.items():
+            for b, v in zip((1, *y[:-1]), y):
+                want[b] += v * np.exp(w - total)
+        best = decode(c, (a0, a1))
+        assert abs(weigh[tuple(int(t in best) for t in range(len(c)))] - max(weigh.values())) < 1e-9
+    assert np.allclose(pairs, want, atol=1e-6)
+
+
+def test_unmarked_stretches():
+    """Trained on text with its marks stripped, the second field cuts held-out text without marks; a short stretch stays whole."""
+    rng = random.Random(6)
+    who, did, what = ["老船夫", "守塔人", "小账房", "邻家女"], ["昨夜放下了", "清晨找到了", "忽然丢掉了"], ["那只木桨", "一封旧信", "两枚铜钱"]
+    make = lambda: "".join(rng.choice(x) for x in (who, did, what))
+    tagger = Tagger().fit_bare(["。".join(make() for _ in range(8)) + "。" for _ in range(60)])
+    parts = [make() for _ in range(9)]
+    text = "".join(parts)
+    assert [text[a:z] for a, z in tagger.sentences(text)] == parts
+    assert len(tagger.sentences(parts[0])) == 1 and len(Tagger().sentences(text)) == 1
+
+
 # --- problem 2
 
 
