@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagaloom.functions.rules import SQL_TYPED, STRENGTHS, event_type, lookup, sql_lookup
-from sagaloom.operators.ranking import best_per, index_quantile, top_n
+from sagaloom.operators.ranking import best_per, index_quantile, numbered, top_n
+from sagaloom.session import cut
 from sagaloom.sources.model import SQL_EVENTS, SQL_LOCATIONS, SQL_PAIRS, SQL_PEOPLE, SQL_ROLES, events, in_people, locations, pairs_of, roles
 
 
@@ -91,37 +92,50 @@ def graph_best_edge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_capped_links(spark: SparkSession, d: str, density: int = 50) -> DataFrame:
-    """Overview graph: each role keeps its strongest edge, further edges by score under a cap per role and in all.
+    """Overview graph: each role keeps its strongest edge, further edges by score under a cap per role and in all."""
+    return capped_links(edges(spark, d).select("book_id", "a", "b", "edge_score"), 0.16 + density / 300, max(2, 2 + round(density / 25)))
 
-    The caps make each choice depend on the ones before, so a book's edges, bounded by its roster, are folded in order.
-    """
-    e = edges(spark, d).select("book_id", "a", "b", "edge_score")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["edge_score", "a", "b"], ascending=[False, True, True]).reset_index(drop=True)
-        nodes = set(pdf.a) | set(pdf.b)
-        keep_count = max(len(nodes) - 1, round(len(pdf) * (0.16 + density / 300)))
-        cap = max(2, 2 + round(density / 25))
-        kept: set[int] = set()
-        served: set[str] = set()
-        for i, r in pdf.iterrows():
-            if r.a not in served or r.b not in served:
-                kept.add(i)
-            served |= {r.a, r.b}
-        degree: dict[str, int] = {}
-        for i in kept:
-            for x in (pdf.a[i], pdf.b[i]):
-                degree[x] = degree.get(x, 0) + 1
-        for i, r in pdf.iterrows():
-            if len(kept) >= keep_count:
-                break
-            if i not in kept and degree.get(r.a, 0) < cap and degree.get(r.b, 0) < cap:
-                kept.add(i)
-                degree[r.a] = degree.get(r.a, 0) + 1
-                degree[r.b] = degree.get(r.b, 0) + 1
-        return pdf.loc[sorted(kept)]
-
-    return e.groupBy("book_id").applyInPandas(fold, e.schema)
+def capped_links(e: DataFrame, share: float, cap: int, max_rounds: int = 40) -> DataFrame:
+    """Of edges (book_id, a, b, edge_score), those a fold by (score descending, a, b) keeps: first every edge that is the first of
+    one of its nodes, then each whose two nodes have fewer than cap, until share of the book's edges (at least nodes - 1) is kept.
+
+    The fold is done in rounds for all books at once: an edge that is among the first of its two nodes, as many as each may still
+    take, is kept whatever happens to later edges. A round ranks edges within nodes only, up to the cap, so no book is one task.
+    """
+    order = [F.desc("edge_score"), "a", "b"]
+    e = cut(e.where("book_id is not null"))
+
+    def sides(edges: DataFrame) -> DataFrame:
+        return edges.select("*", F.explode(F.array("a", "b")).alias("node"))
+
+    all_edges = e.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
+    nodes = sides(e).groupBy("book_id").agg(F.countDistinct("node").alias("nodes"))
+    limit = all_edges.join(nodes, "book_id").select("book_id", F.greatest(F.col("nodes") - 1, F.bround(F.col("n") * share)).cast("long").alias("most"))
+    first = cut(best_per(sides(e), ["book_id", "node"], order).select("book_id", "a", "b", "edge_score").distinct())
+    room = sides(first).groupBy("book_id", "node").agg((F.lit(cap) - F.count(F.lit(1))).alias("room"))
+    left = e.join(first, ["book_id", "a", "b"], "left_anti")
+    taken: list[DataFrame] = []
+    for _ in range(max_rounds):
+        free = room.where("room > 0")
+        left = left.join(free.select("book_id", F.col("node").alias("a")), ["book_id", "a"], "left_semi").join(free.select("book_id", F.col("node").alias("b")), ["book_id", "b"], "left_semi")
+        left = cut(left.select("book_id", "a", "b", "edge_score"))
+        best = top_n(sides(left), ["book_id", "node"], order, cap).join(free, ["book_id", "node"]).where("rank_no <= room")
+        now = cut(best.groupBy("book_id", "a", "b", "edge_score").agg(F.count(F.lit(1)).alias("ends")).where("ends = 2").drop("ends"))
+        if now.isEmpty():
+            break
+        taken.append(now)
+        used = sides(now).groupBy("book_id", "node").agg(F.count(F.lit(1)).alias("used"))
+        room = cut(room.join(used, ["book_id", "node"], "left").select("book_id", "node", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")))
+        left = left.join(now, ["book_id", "a", "b"], "left_anti")
+    else:
+        raise RuntimeError("edges are still taken after the last round")
+    if not taken:
+        return first
+    more = reduce(DataFrame.unionByName, taken)
+    have = first.groupBy("book_id").agg(F.count(F.lit(1)).alias("have"))
+    placed = numbered(more, ["book_id"], -F.floor("edge_score"), order, "place").join(limit.join(have, "book_id"), "book_id")
+    return first.unionByName(placed.where("place <= most - have").select("book_id", "a", "b", "edge_score"))
 
 
 def role_relation_groups(spark: SparkSession, d: str) -> DataFrame:

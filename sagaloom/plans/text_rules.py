@@ -111,8 +111,8 @@ def event_display_name(spark: SparkSession, d: str) -> DataFrame:
 def dictionary_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Mentions of each book's role names in the texts of its chunks, greedy from the longest name."""
     r = roles(spark, d).select("book_id", "id", F.explode("all_names").alias("alias")).where(F.length("alias") >= 2).select("book_id", "alias", F.col("id").alias("entity"))
-    c = table(spark, d, "chunk_extractions").dropDuplicates(["chunk_id"]).select("book_id", "chunk_id", F.array_join("source_sentences", "").alias("text"))
-    return match_names(c, r, "book_id", "chunk_id")
+    c = table(spark, d, "chunk_extractions").select("book_id", "chunk_id", F.array_join("source_sentences", "").alias("text"))
+    return match_names(c, r, "book_id", "chunk_id").drop("kind")
 
 
 def keyword_action(spark: SparkSession, d: str) -> DataFrame:

@@ -72,13 +72,17 @@ def timeline_page(spark: SparkSession, d: str) -> DataFrame:
     return timeline_sorted(spark, d).where(F.col("place").between(21, 30))
 
 
-def power_distribution(spark: SparkSession, d: str) -> DataFrame:
-    """Roles that take part in an event, per displayed power; without a power they fall under 其他."""
+def power_members(spark: SparkSession, d: str) -> DataFrame:
+    """Roles that take part in an event with their displayed power; without a power they fall under 其他."""
     named = F.filter(F.concat(F.array("primary_power"), F.coalesce("powers", F.array().cast("array<string>"))), lambda p: p.isNotNull() & (p != ""))
     shown = F.coalesce(F.get(F.filter(named, lambda p: ~p.isin(*GENERIC_POWERS)), F.lit(0)), F.get(named, F.lit(0)), F.lit("其他"))
     present = in_people(events(spark, d)).select(F.col("role").alias("id"))
-    r = roles(spark, d).join(present, "id", "left_semi").select("book_id", "id", shown.alias("power"))
-    return r.groupBy("book_id", "power").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"))
+    return roles(spark, d).join(present, "id", "left_semi").select("book_id", "id", shown.alias("power"))
+
+
+def power_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """How many of these roles each displayed power of a book has; the roles themselves are power_members."""
+    return power_members(spark, d).groupBy("book_id", "power").agg(F.count(F.lit(1)).alias("n"))
 
 
 def entity_search(spark: SparkSession, d: str) -> DataFrame:
@@ -151,9 +155,11 @@ _PLACED = "row_number() OVER (PARTITION BY book_id ORDER BY p0 NULLS LAST, unit
 QUERIES = {
     "events_in_range": events_in_range, "unit_membership": unit_membership, "overlap_sizes": overlap_sizes, "null_progress_passes": null_progress_passes, "roles_in_range": roles_in_range,
     "mentions_in_range": mentions_in_range, "timeline_sorted": timeline_sorted, "timeline_points": timeline_points, "timeline_search": timeline_search, "timeline_page": timeline_page,
-    "power_distribution": power_distribution, "entity_search": entity_search, "roles_by_mentions": roles_by_mentions, "locations_top": locations_top, "kb_summary": kb_summary,
+    "power_distribution": power_distribution, "power_members": power_members, "entity_search": entity_search, "roles_by_mentions": roles_by_mentions, "locations_top": locations_top, "kb_summary": kb_summary,
     "nearest_forward_anchor": nearest_forward_anchor, "latest_revision": latest_revision, "alias_index": alias_index,
 }
+_POWERS = f"""{SQL_EVENTS}, {SQL_PEOPLE}, {SQL_ROLES}, s AS (SELECT book_id, id, coalesce(list_filter({_NAMED}, lambda p: p NOT IN ({_GENERIC}))[1], ({_NAMED})[1], '其他') AS power
+  FROM role WHERE id IN (SELECT ep.role FROM ep))"""
 SQL = {
     "events_in_range": f"WITH {SQL_EVENTS} SELECT id, book_id, name, p0, p1 FROM ev WHERE {sql_overlaps('list_min(source_units)', 'list_max(source_units)', UNITS)} AND {sql_overlaps('p0', 'p1', PROGRESS)}",
     "unit_membership": f"WITH {SQL_EVENTS} SELECT id, unit FROM ev WHERE len(list_filter(source_units, lambda x: x BETWEEN {UNITS[0]} AND {UNITS[1]})) > 0",
@@ -165,8 +171,8 @@ SQL = {
     "timeline_points": f"WITH {SQL_EVENTS} SELECT book_id, p0, count(*) AS n, min_by(name, id) AS label, CAST(sum(len(people)) AS BIGINT) AS people FROM ev WHERE p0 IS NOT NULL GROUP BY ALL",
     "timeline_search": f"WITH {SQL_EVENTS} SELECT id, name FROM ev WHERE contains(lower(name), '钥') OR contains(lower(description), '钥') OR contains(lower(location), '钥') OR len(list_filter(people, lambda p: contains(p, '钥'))) > 0",
     "timeline_page": f"WITH {SQL_EVENTS}, t AS (SELECT book_id, id, {_PLACED} FROM ev) SELECT * FROM t WHERE place BETWEEN 21 AND 30",
-    "power_distribution": f"""WITH {SQL_EVENTS}, {SQL_PEOPLE}, {SQL_ROLES}, s AS (SELECT book_id, id, coalesce(list_filter({_NAMED}, lambda p: p NOT IN ({_GENERIC}))[1], ({_NAMED})[1], '其他') AS power FROM role WHERE id IN (SELECT ep.role FROM ep))
-        SELECT book_id, power, count(*) AS n, string_agg(id, ',' ORDER BY id) AS members FROM s GROUP BY ALL""",
+    "power_members": f"WITH {_POWERS} SELECT book_id, id, power FROM s",
+    "power_distribution": f"WITH {_POWERS} SELECT book_id, power, count(*) AS n FROM s GROUP BY ALL",
     "entity_search": f"""WITH {SQL_ROLES}, {SQL_LOCATIONS}, s AS (SELECT 'role' AS kind, id, {_SEARCH} AS score FROM role UNION ALL SELECT 'location', id, {_SEARCH} FROM loc) SELECT kind, id, CAST(score AS INT) AS score FROM s WHERE score > 0""",
     "roles_by_mentions": f"WITH {SQL_ROLES} SELECT book_id, id, total_mentions, row_number() OVER (PARTITION BY book_id ORDER BY total_mentions DESC NULLS LAST, id) AS place FROM role",
     "locations_top": f"""WITH {SQL_EVENTS}, {SQL_LOCATIONS}, n AS (SELECT location, count(*) AS n FROM ev WHERE location IS NOT NULL GROUP BY 1)

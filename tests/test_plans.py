@@ -1,4 +1,4 @@
-"""Every query with SQL gives the same rows in DuckDB, on the smallest tables."""
+"""Every query gives the rows of its SQL in DuckDB, or of plain Python where it has no SQL, on the smallest tables."""
 
 from __future__ import annotations
 
@@ -9,9 +9,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from tests import brute
 from verify_local import norm
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+#: Queries whose rows are checked on made-up events that reach every branch.
+ON_FIXTURES = {"foreshadow_threads", "season_beats", "narrative_unit_dossiers"}
 CORE = [n for m in entry_module._MODULES if not m.__name__.startswith("sagaloom.llm") for n in m.QUERIES]
 
 
@@ -31,7 +34,11 @@ def test_query(spark, duck, name):
     got = sorted(tuple(norm(r[c]) for c in cols) for r in (x.asDict(recursive=True) for x in df.collect()))
     sql = entry_module.oracle_sql().get(name)
     if sql is None:
-        return
+        if name in ON_FIXTURES:
+            return pytest.skip("held to made-up events in tests/test_folds.py")
+        want = list(getattr(brute, name)(duck))
+        assert got == sorted(tuple(norm(r[c]) for c in cols) for r in want)
+        return None
     rel = duck.execute(sql)
     head = [d[0] for d in rel.description]
     assert got == sorted(tuple(norm(dict(zip(head, r))[c]) for c in cols) for r in rel.fetchall())
