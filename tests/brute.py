@@ -413,3 +413,52 @@ def extracted_events(con):
 def action_type_counts(con):
     n = Counter((r["book_id"], r["src"], r["dst"], r["action"]) for r in extraction(con)["relations"])
     return [dict(book_id=k[0], src=k[1], dst=k[2], action=k[3], n=v) for k, v in n.items()]
+
+
+def dossier_top_500(con):
+    from sagaloom.plans.audits import _DM
+
+    by = defaultdict(list)
+    for r in rows(con, f"WITH {_DM} SELECT k.book_id, k.id, dm.dossier_score, k.unit, k.name, concat_ws('：', k.people[1], k.name) AS shown FROM dm JOIN k ON k.id = dm.id"):
+        by[r["book_id"]].append(r)
+    for rs in by.values():
+        rs.sort(key=lambda r: (-r["dossier_score"], late(r["unit"]), r["id"]))
+        seen, used, n = set(), Counter(), 0
+        for r in rs:
+            if n < 500 and r["shown"] not in seen and used[r["name"]] < 3:
+                n += 1
+                seen.add(r["shown"])
+                used[r["name"]] += 1
+                yield dict(book_id=r["book_id"], id=r["id"], dossier_score=r["dossier_score"], rank_no=n)
+
+
+def narrative_unit_dossiers(con):
+    import hashlib
+
+    from sagaloom.plans.seasons import SQL
+
+    told = {(r["book_id"], r["unit"]): r for r in rows(con, SQL["unit_synopsis"])}
+    keys = defaultdict(list)
+    for r in rows(con, SQL["key_events_per_unit"]):
+        if r["rank_no"] <= 3:
+            keys[r["book_id"], r["unit"]].append((r["rank_no"], r["id"]))
+    for b in boundary_units(con):
+        units = [u for u in range(b["first_unit"], b["last_unit"] + 1) if (b["book_id"], u) in told]
+        text = "\n".join(told[b["book_id"], u]["synopsis"] for u in units if told[b["book_id"], u]["synopsis"] is not None)
+        ids = ",".join(",".join(i for _, i in sorted(keys[b["book_id"], u])) for u in units if keys[b["book_id"], u])
+        n = sum(told[b["book_id"], u]["n_events"] for u in units)
+        packet = "\x1f".join(map(str, (b["book_id"], b["first_unit"], b["last_unit"], text, ids)))
+        yield dict(book_id=b["book_id"], first_unit=b["first_unit"], last_unit=b["last_unit"], reason=b["reason"], n_events=n, synopses=text, key_events=ids, hash=hashlib.sha256(packet.encode()).hexdigest())
+
+
+def repeated_texts(con):
+    by = defaultdict(list)
+    for r in rows(con, "SELECT DISTINCT doc_id, book_id, unit_index, text FROM documents WHERE book_id IS NOT NULL AND text IS NOT NULL"):
+        by[r["book_id"], r["unit_index"]].append((r["doc_id"], r["text"]))
+    for (book, unit), ts in by.items():
+        ts.sort()
+        for (other, a), (i, b) in zip(ts, ts[1:]):
+            if a and b:
+                r = None if len(b) >= 60 and a[:60] == b[:60] else round(SequenceMatcher(None, b, a, autojunk=False).ratio(), 6)
+                if r is None or r >= 0.92:
+                    yield dict(group=f"{book}" + ("" if unit is None else f"/{unit}"), id=i, other=other, likeness=r)
