@@ -3,7 +3,10 @@
 Sources claim values for fields of objects. A source's accuracy is the mean posterior of what it claims; a value's score is the
 sum of its sources' log odds; two sources that share more false values than chance explains are taken as dependent, and of
 sources that claim one value the less accurate count only with the probability that they did not copy. The three estimates are
-repeated for a fixed number of rounds.
+repeated until no accuracy moves by more than a tolerance, at most a number of rounds.
+
+Only sources with claims on several objects are compared for copying: of a source that speaks once nothing can be told. So
+pairs are made among the few sources of an object that speak often, never among all its records.
 
 The rules of this project fix the surviving record otherwise (see survivors.py), so the result is offered beside them, as the
 value and its posterior.
@@ -28,8 +31,7 @@ def _dependence(claims: DataFrame, truth: DataFrame | None, accuracy: DataFrame,
     """s, t, dep: probability that two sources depend on each other, from values they share and differ in.
 
     Before any truth is estimated only agreement counts; a truth voted for by copies would make honest agreement look like
-    shared mistakes. Pairs are of sources within one field of one object, where each source has one claim, so their number is
-    bounded by the number of sources; they are counted at once.
+    shared mistakes. Pairs are of the sources given, within one field of one object, where each has one claim.
     """
     c = claims.withColumn("best", F.lit(None).cast("string")) if truth is None else claims.join(truth.select(*OBJECT, F.col("value").alias("best")), OBJECT)
     x, y = c.select(*OBJECT, F.col("source").alias("s"), F.col("value").alias("vs"), "best"), c.select(*OBJECT, F.col("source").alias("t"), F.col("value").alias("vt"))
@@ -60,23 +62,29 @@ def _truth(post: DataFrame) -> DataFrame:
     return post.groupBy(*OBJECT).agg(best).select(*OBJECT, F.col("b.value").alias("value"), (-F.col("b.p")).alias("posterior"))
 
 
-def fuse_values(claims: DataFrame, rounds: int = 3, wrong: int = 10, copy: float = 0.8, prior: float = 0.1) -> DataFrame:
+def fuse_values(claims: DataFrame, rounds: int = 8, tolerance: float = 0.002, least_objects: int = 5, wrong: int = 10, copy: float = 0.8, prior: float = 0.1) -> DataFrame:
     """object_id, field_name, value, posterior from claims (object_id, field_name, source, value, claim_order).
 
     In each round dependence is judged before accuracies are, so that copies do not first raise their own accuracy.
     """
     one = claims.where("value is not null and source is not null").groupBy(*OBJECT, "source").agg(F.max(F.struct("claim_order", "value"))["value"].alias("value"))
     one = cut(one)
+    often = one.groupBy("source").agg(F.countDistinct("object_id").alias("n")).where(F.col("n") >= least_objects).select("source")
+    many = cut(one.join(often, "source", "left_semi"))
     accuracy = one.groupBy("source").agg(F.lit(0.8).alias("accuracy"))
     post = None
     for _ in range(rounds):
-        dep = cut(_dependence(one, post if post is None else _truth(post), accuracy, wrong, copy, prior))
+        dep = cut(_dependence(many, post if post is None else _truth(post), accuracy, wrong, copy, prior))
         both = dep.union(dep.select("t", "s", "dep")).toDF("source", "other", "dep").join(accuracy, "source").join(accuracy.toDF("other", "acc_other"), "other")
         ahead = both.where("acc_other > accuracy or (acc_other = accuracy and other < source)").select("source", "other", "dep")
-        met = one.join(one.withColumnRenamed("source", "other"), [*OBJECT, "value"]).join(ahead, ["source", "other"])
+        met = many.join(many.withColumnRenamed("source", "other"), [*OBJECT, "value"]).join(ahead, ["source", "other"])
         bound = met.groupBy(*OBJECT, "source").agg(F.exp(F.sum(F.log(1 - copy * F.col("dep")))).alias("free"))
         weight = cut(one.join(bound, [*OBJECT, "source"], "left").withColumn("free", F.coalesce("free", F.lit(1.0))))
         post = _posteriors(weight, accuracy, wrong)
         mean = one.join(post, [*OBJECT, "value"]).groupBy("source").agg(F.avg("posterior").alias("m"))
-        accuracy = cut(mean.select("source", F.least(F.greatest("m", F.lit(0.05)), F.lit(0.95)).alias("accuracy")))
+        new = cut(mean.select("source", F.least(F.greatest("m", F.lit(0.05)), F.lit(0.95)).alias("accuracy")))
+        moved = new.join(accuracy.toDF("source", "before"), "source").agg(F.max(F.abs(F.col("accuracy") - F.col("before")))).first()[0]
+        accuracy = new
+        if moved is None or moved <= tolerance:
+            break
     return _truth(post)

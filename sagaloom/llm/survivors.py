@@ -44,7 +44,7 @@ def surviving_records(roles: DataFrame, trust: DataFrame) -> DataFrame:
         squeezed(F.col("description")).alias("_text"),
         F.size(F.array_distinct(F.filter(F.transform(F.coalesce("original_descriptions", F.array().cast("array<string>")), squeezed), is_value))).alias("_count"),
     )
-    seen = seen.join(F.broadcast(ranks), "_source", "left")  # ranks has one row per known source, a fixed handful
+    seen = seen.join(ranks, "_source", "left")  # one row per known source: the planner broadcasts it after its size
     last = F.struct("updated_at", (-F.col("record_id")).alias("_first"))
 
     def best(measure: Column, valued: Column) -> Column:
