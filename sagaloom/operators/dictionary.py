@@ -91,7 +91,7 @@ def match_names(texts: DataFrame, names: DataFrame, group: str, key: str, carry:
     size = one.agg(F.sum(F.octet_length("alias") + F.octet_length("entity") + 16)).first()[0] or 0
     if size <= most_bytes:
         table: dict = {}
-        for r in one.select(group, "kind", "alias", "entity").toLocalIterator():
+        for r in one.select(group, "kind", "alias", "entity").collect():  # no more than most_bytes
             table.setdefault(r[0], []).append(tuple(r[1:]))
         sent, token = texts.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
 
