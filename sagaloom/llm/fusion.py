@@ -3,7 +3,7 @@
 Sources claim values for fields of objects. A source's accuracy is the mean posterior of what it claims; a value's score is the
 sum of its sources' log odds; two sources that share more false values than chance explains are taken as dependent, and of
 sources that claim one value the less accurate count only with the probability that they did not copy. The three estimates are
-repeated until no accuracy moves by more than a tolerance, at most a number of rounds.
+repeated until no accuracy of a source that speaks often moves by more than a tolerance, at most a number of rounds.
 
 Only sources with claims on several objects are compared for copying: of a source that speaks once nothing can be told. So
 pairs are made among the few sources of an object that speak often, never among all its records.
@@ -62,7 +62,7 @@ def _truth(post: DataFrame) -> DataFrame:
     return post.groupBy(*OBJECT).agg(best).select(*OBJECT, F.col("b.value").alias("value"), (-F.col("b.p")).alias("posterior"))
 
 
-def fuse_values(claims: DataFrame, rounds: int = 8, tolerance: float = 0.002, least_objects: int = 5, wrong: int = 10, copy: float = 0.8, prior: float = 0.1) -> DataFrame:
+def fuse_values(claims: DataFrame, rounds: int = 5, tolerance: float = 0.002, least_objects: int = 5, wrong: int = 10, copy: float = 0.8, prior: float = 0.1) -> DataFrame:
     """object_id, field_name, value, posterior from claims (object_id, field_name, source, value, claim_order).
 
     In each round dependence is judged before accuracies are, so that copies do not first raise their own accuracy.
@@ -70,6 +70,7 @@ def fuse_values(claims: DataFrame, rounds: int = 8, tolerance: float = 0.002, le
     one = claims.where("value is not null and source is not null").groupBy(*OBJECT, "source").agg(F.max(F.struct("claim_order", "value"))["value"].alias("value"))
     one = cut(one)
     often = one.groupBy("source").agg(F.countDistinct("object_id").alias("n")).where(F.col("n") >= least_objects).select("source")
+    often = cut(often)
     many = cut(one.join(often, "source", "left_semi"))
     accuracy = one.groupBy("source").agg(F.lit(0.8).alias("accuracy"))
     post = None
@@ -83,7 +84,7 @@ def fuse_values(claims: DataFrame, rounds: int = 8, tolerance: float = 0.002, le
         post = _posteriors(weight, accuracy, wrong)
         mean = one.join(post, [*OBJECT, "value"]).groupBy("source").agg(F.avg("posterior").alias("m"))
         new = cut(mean.select("source", F.least(F.greatest("m", F.lit(0.05)), F.lit(0.95)).alias("accuracy")))
-        moved = new.join(accuracy.toDF("source", "before"), "source").agg(F.max(F.abs(F.col("accuracy") - F.col("before")))).first()[0]
+        moved = new.join(often, "source", "left_semi").join(accuracy.toDF("source", "before"), "source").agg(F.max(F.abs(F.col("accuracy") - F.col("before")))).first()[0]
         accuracy = new
         if moved is None or moved <= tolerance:
             break
