@@ -45,6 +45,19 @@ def with_stats(df: DataFrame, keys: list[str], stats: list[Column], spread: str)
     return salted_lookup(df.withColumn("_k", key), found, ["_k"], spread).drop("_k")
 
 
+def with_count(df: DataFrame, keys: list[str], spread: str, name: str, lean: DataFrame | None = None, most: int = 4096) -> DataFrame:
+    """df with the number of rows that share a row's keys, counted in place: nothing is repeated beside the rows.
+
+    Only the keys of more than `most` rows are broadcast with their counts, at most one for every `most` rows; their rows are spread
+    by a hash of the column `spread`, so that none is a single task. lean: the same rows as df where they are read with less work.
+    """
+    heavy = (df if lean is None else lean).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    key = F.struct(*keys)  # structs with null fields are equal, so rows of null groups stay
+    d = df.withColumn("_k", key).join(F.broadcast(heavy.select(key.alias("_k"), "_n")), "_k", "left").drop("_k")
+    part = F.pmod(F.xxhash64(spread), F.ceil(F.col("_n") / most))  # null for all other keys
+    return d.withColumn(name, F.coalesce("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, part)))).drop("_n")
+
+
 def index_quantile(df: DataFrame, group: list[str], value: str, share: float, spread: str) -> DataFrame:
     """group, threshold: the value at index floor((n - 1) * share) of the ascending values of each group (no interpolation)."""
     placed = with_stats(numbered(df, group, F.floor(value), [F.col(value), F.col(spread)], "_at"), group, [F.count(F.lit(1)).alias("_n")], spread)

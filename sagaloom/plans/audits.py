@@ -12,7 +12,7 @@ from sagaloom.functions.rules import SQL_TYPED
 from sagaloom.functions.text import BLANK
 from sagaloom.operators.merging import best_of, content_hash, freshness, missing_keys, upsert
 from sagaloom.operators.ranking import best_per, top_n
-from sagaloom.plans.seasons import key_scored
+from sagaloom.plans.seasons import key_scored, scored, with_tiers
 from sagaloom.sources.model import SQL_EVENTS, SQL_LOCATIONS, SQL_PEOPLE, SQL_ROLES, events, in_people, locations, pairs_of, roles
 from sagaloom.sources.tables import table
 
@@ -170,14 +170,20 @@ def pair_priority(spark: SparkSession, d: str) -> DataFrame:
     return top_n(p.withColumn("priority", both + F.least("n", F.lit(10))).where("priority is not null"), ["book_id"], [F.desc("priority"), "a", "b"], 5).select("book_id", "a", "b", "priority", "rank_no")
 
 
+def dossier_events(spark: SparkSession, d: str) -> DataFrame:
+    """Key-scored events that a list names (key events, places, the registry's first units), with their best list, the number of
+    lists and a score from both. The events are read once, and the lists are marks on their rows instead of tables of their own."""
+    named = table(spark, d, "unified_locations").select(F.explode("associated_events").alias("id")).where("id <> ''").distinct().withColumn("_place", F.lit(True))
+    s = scored(spark, d).join(named.hint("merge"), "id", "left")  # both lie by id already, and a place may name any number of events
+    lists = [(F.col("tier") == "critical", 4), (F.col("_place").isNotNull(), 3), (F.coalesce(F.col("unit") == 1, F.lit(False)), 2)]
+    m = with_tiers(s, events(spark, d)).withColumn("n", sum((x.cast("long") for x, _ in lists), F.lit(0))).where("n > 0 and id <> ''")
+    m = m.withColumn("best", F.greatest(*(F.when(x, no) for x, no in lists)))
+    return m.withColumn("dossier_score", (F.col("best") + F.least(2 * (F.col("n") - 1), F.lit(6)) + F.col("score")).cast("long")).drop("_place")
+
+
 def dossier_membership(spark: SparkSession, d: str) -> DataFrame:
-    """Events by the lists that name them (key events, places, the registry's first units) and a score from the lists."""
-    k = key_scored(spark, d)
-    a = k.where("tier = 'critical'").select("id", F.lit("key").alias("src"), F.lit(4).alias("tier_no"))
-    b = locations(spark, d).select(F.explode("associated_events").alias("id"), F.lit("place").alias("src"), F.lit(3).alias("tier_no"))
-    c = k.where("unit = 1").select("id", F.lit("opening").alias("src"), F.lit(2).alias("tier_no"))
-    m = a.union(b).union(c).where("id <> ''").distinct().groupBy("id").agg(F.max("tier_no").alias("best"), F.count(F.lit(1)).alias("n"))
-    return k.select("id", "score").join(m, "id").select("id", "best", "n", (F.col("best") + F.least(2 * (F.col("n") - 1), F.lit(6)) + F.col("score")).cast("long").alias("dossier_score"))
+    """Events by the lists that name them and a score from the lists."""
+    return dossier_events(spark, d).select("id", "best", "n", "dossier_score")
 
 
 def dossier_top_n(spark: SparkSession, d: str, n: int = 40) -> DataFrame:

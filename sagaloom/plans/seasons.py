@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sagaloom.functions.rules import FUNCTION_WORDS, PHASE_RULES, SQL_TEXT, SQL_TYPED, TYPE_WEIGHTS, event_text, event_type, first_best, hits, light_score, lookup, sql_first_best, sql_hits, sql_lookup
-from sagaloom.operators.ranking import best_per, numbered, ranked, top_n, with_previous, with_stats
+from sagaloom.operators.ranking import best_per, numbered, ranked, top_n, with_count, with_previous, with_stats
 from sagaloom.session import cut
 from sagaloom.sources.model import SEASON_UNITS, SQL_EVENTS, SQL_PAIRS, SQL_PEOPLE, SQL_ROLES, SQL_SEASON, events, in_people, locations, pairs_of, roles, season_of
 
@@ -88,10 +88,15 @@ def recurring_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 def key_scored(spark: SparkSession, d: str) -> DataFrame:
     """Light score, +1 for evidence, +2 for a rare name, less for a very frequent one; with tiers."""
-    s = with_stats(scored(spark, d), ["book_id", "name"], [F.count(F.lit(1)).alias("freq")], "id")
-    evidence = F.coalesce(F.col("description") != "", F.lit(False)).cast("int")
+    return with_tiers(scored(spark, d), events(spark, d))
+
+
+def with_tiers(s: DataFrame, ev: DataFrame) -> DataFrame:
+    """Scored events with freq, key_score and tier; ev: the same events, from which names are counted."""
+    s = s.withColumn("_evidence", F.coalesce(F.col("description") != "", F.lit(False)).cast("int"))
+    s = with_count(s, ["book_id", "name"], "id", "freq", ev)
     rare = F.when(F.col("freq") <= 1, 2).otherwise(0) - F.when(F.col("freq") > 8, F.least(F.col("freq") - 8, F.lit(10))).otherwise(0)
-    s = s.withColumn("key_score", (F.col("score") + evidence + rare).cast("long"))
+    s = s.withColumn("key_score", (F.col("score") + F.col("_evidence") + rare).cast("long")).drop("_evidence")
     return s.withColumn("tier", F.when(F.col("key_score") >= 10, "critical").when(F.col("key_score") >= 7, "major").otherwise("notable"))
 
 

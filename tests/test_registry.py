@@ -80,3 +80,55 @@ def test_near_repeats(spark):
     t = spark.createDataFrame(rows, "group string, place int, id long, text string")
     assert {(r.id, r.other) for r in registry.near_repeats(t).collect()} == {(2, 1), (4, 3)}
     assert registry.near_repeats(t.limit(0)).count() == 0
+
+
+#: Events whose names are rare, repeated and frequent; ids null, empty and given by several lists.
+DOSSIERS = [(i, 1 + n % 2, f"{name}{n % k}", f"loc{n % 4}" if n % 3 else None, "灯" if n % 5 else "", "钟" if n % 2 else None, n % 9, [None if n % 7 == 0 else n % 3], [f"role{(n + k) % 11}" for k in range(n % 6)]) for n, (i, name, k) in enumerate(
+    [(f"e{x}", "论剑", 90) for x in range(120)] + [(f"f{x}", "夜谈", 2) for x in range(60)] + [(None, "论剑", 1), ("", "论剑", 2), ("g1", "论剑", 1), ("g2", "夜谈", 1)])]
+
+
+@pytest.fixture(scope="module")
+def dossier_dir(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("dossiers"))
+    ev = "id string, book_id long, name string, location string, description string, significance string, progress_start int, source_units array<int>, participants array<string>"
+    rows = spark.createDataFrame(DOSSIERS, ev).selectExpr("*", "progress_start + 1 AS progress_end", "1 AS action_count", "current_timestamp() AS created_at", "current_timestamp() AS updated_at")
+    rows.coalesce(1).write.parquet(f"{d}/unified_events.parquet")
+    places = [("p1", ["e1", "e1", "e2", "f3", "gone", None]), ("p2", ["e2", "", "f4", "e7"]), ("p3", None), ("p4", [])]
+    spark.createDataFrame(places, "id string, associated_events array<string>").selectExpr("*", "array('role1') AS associated_entities").coalesce(1).write.parquet(f"{d}/unified_locations.parquet")
+    return d
+
+
+def held_to_sql(spark, d, name, scans):
+    """The rows are those of the SQL; the events are read only so often, and nothing of the events' size is broadcast, even where the folder looks small."""
+    import duckdb
+
+    import __spark_entry__ as e
+    from verify_local import norm
+
+    df = e.queries()[name](spark, d)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("unified_events.parquet") == scans and plan.count("BroadcastExchange") <= 1 and "_salt" not in plan
+    con = duckdb.connect()
+    for t in ("unified_events", "unified_locations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet/*.parquet')")
+    rel = con.execute(e.oracle_sql()[name])
+    head = [c[0] for c in rel.description]
+    want = sorted(tuple(norm(dict(zip(head, r))[c]) for c in df.columns) for r in rel.fetchall())
+    assert want and sorted(tuple(norm(x) for x in r) for r in df.collect()) == want
+
+
+def test_dossier_membership_without_tables_of_names(spark, dossier_dir):
+    held_to_sql(spark, dossier_dir, "dossier_membership", 2)
+
+
+@pytest.mark.parametrize("most", [1, 3, 4096])
+def test_counts_in_place(spark, most):
+    from collections import Counter
+
+    from sagaloom.operators.ranking import with_count
+
+    rows = [(g, n, i) for i, (g, n) in enumerate([(1, "a")] * 7 + [(1, None)] * 5 + [(None, None)] * 4 + [(2, "a"), (2, "b"), (2, "b")])]
+    df = spark.createDataFrame(rows, "g long, name string, id long")
+    n = Counter(r[:2] for r in rows)
+    for lean in (None, df.select("g", "name")):
+        assert sorted(((r.id, r.freq) for r in with_count(df, ["g", "name"], "id", "freq", lean, most).collect())) == [(i, n[g, x]) for g, x, i in rows]
