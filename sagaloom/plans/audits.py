@@ -189,8 +189,7 @@ def dossier_membership(spark: SparkSession, d: str) -> DataFrame:
 def dossier_top_n(spark: SparkSession, d: str, n: int = 40) -> DataFrame:
     """The best n events of each book by that score, a name at most three times, as two window cuts. W15's quota of one
     per display name, which needs a fold in order, is not in it."""
-    m = dossier_membership(spark, d).join(events(spark, d).select("id", "book_id", "name", "unit"), "id")
-    few = top_n(m, ["book_id", "name"], [F.desc("dossier_score"), F.asc_nulls_last("unit"), "id"], 3)
+    few = top_n(dossier_events(spark, d), ["book_id", "name"], [F.desc("dossier_score"), F.asc_nulls_last("unit"), "id"], 3)
     return top_n(few.drop("rank_no"), ["book_id"], [F.desc("dossier_score"), F.asc_nulls_last("unit"), "id"], n).select("book_id", "id", "dossier_score", "rank_no")
 
 

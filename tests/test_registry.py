@@ -121,6 +121,10 @@ def test_dossier_membership_without_tables_of_names(spark, dossier_dir):
     held_to_sql(spark, dossier_dir, "dossier_membership", 2)
 
 
+def test_dossier_top_n_without_tables_of_names(spark, dossier_dir):
+    held_to_sql(spark, dossier_dir, "dossier_top_n", 2)
+
+
 @pytest.mark.parametrize("most", [1, 3, 4096])
 def test_counts_in_place(spark, most):
     from collections import Counter
