@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sagaloom.operators.components import connected_components
 from sagaloom.operators.ranking import best_per, ranked, top_n
-from sagaloom.plans.audits import _DM, dossier_membership
+from sagaloom.plans.audits import _DM, dossier_events, dossier_membership
 from sagaloom.plans.graph import _E, edges
 from sagaloom.plans.resolution import NAME_RULES, typed_names
 from sagaloom.plans.seasons import _CW, _S, _SP, conflict_beats, phases, scored, season_role_density
@@ -292,7 +292,7 @@ def dossier_top_500(spark: SparkSession, d: str, most: int = 500, per_name: int
     Of the events of one name and display name only the first can be taken, so all others are dropped before the fold.
     """
     shown = F.concat_ws("：", F.get("people", F.lit(0)), "name").alias("shown")
-    m = dossier_membership(spark, d).join(events(spark, d).select("id", "book_id", "name", "unit", shown), "id")
+    m = dossier_events(spark, d).select("id", "book_id", "name", "unit", "dossier_score", shown)
     order = [F.desc("dossier_score"), F.asc_nulls_last("unit"), "id"]
     one = best_per(m, ["book_id", "name", "shown"], order).select("book_id", "id", "name", "shown", "unit", "dossier_score")
 
