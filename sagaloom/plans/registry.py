@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sagaloom.operators.components import connected_components
 from sagaloom.operators.ranking import best_per, ranked, top_n
-from sagaloom.plans.audits import _DM, dossier_events, dossier_membership
+from sagaloom.plans.audits import _DM, dossier_events
 from sagaloom.plans.graph import _E, edges
 from sagaloom.plans.resolution import NAME_RULES, typed_names
 from sagaloom.plans.seasons import _CW, _S, _SP, conflict_beats, phases, scored, season_role_density
@@ -184,8 +184,7 @@ def segment_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 def featured_events(spark: SparkSession, d: str) -> DataFrame:
     """Of each book's events with a dossier, the eight with most people, then by progress."""
-    m = dossier_membership(spark, d).select("id").join(events(spark, d), "id")
-    return top_n(m, ["book_id"], [F.desc(F.size("people")), F.asc_nulls_last("p0"), "id"], 8).select("book_id", "id", F.size("people").alias("n_people"), "p0", "rank_no")
+    return top_n(dossier_events(spark, d), ["book_id"], [F.desc(F.size("people")), F.asc_nulls_last("p0"), "id"], 8).select("book_id", "id", F.size("people").alias("n_people"), "p0", "rank_no")
 
 
 def spotlight_pairs(spark: SparkSession, d: str) -> DataFrame:

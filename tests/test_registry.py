@@ -132,6 +132,10 @@ def test_dossier_top_500_without_tables_of_names(spark, dossier_dir):
     held_to_sql(spark, dossier_dir, "dossier_top_500", 2)
 
 
+def test_featured_events_without_tables_of_names(spark, dossier_dir):
+    held_to_sql(spark, dossier_dir, "featured_events", 2)
+
+
 @pytest.mark.parametrize("most", [1, 3, 4096])
 def test_counts_in_place(spark, most):
     from collections import Counter
